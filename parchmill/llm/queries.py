@@ -5,11 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parchmill.llm import encoding, packing, ranking
+from parchmill.llm import encoding, packing, quality, ranking, repetition
 from parchmill.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    requests = table(spark, sf, "analyze_requests").select("id", "clause_text")
+    kinds = quality.with_kind(requests, all_figures=False).select("id", "kind")
+    return kinds.where(F.col("kind").isin("list", "table", "junk")).distinct()
+
+
+def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    requests = table(spark, sf, "analyze_requests").select("id", "clause_text")
+    return quality.with_kind(requests).select("id", "stats.*", "reasons", "kind").distinct()
+
+
+def p1_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    requests = table(spark, sf, "analyze_requests").select("id", "category", "clause_text")
+    return quality.by_category(quality.with_kind(requests).select("id", "category", "stats", "kind").distinct())
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    responses = table(spark, sf, "analyze_responses").select("response_id", "source", "raw_response")
+    found = repetition.repetitive(responses, "raw_response", "response_id")
+    return found.where("repetitive").select("response_id").distinct()
+
+
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    responses = table(spark, sf, "analyze_responses").select("response_id", "source", "raw_response")
+    return repetition.repetitive(responses, "raw_response", "response_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     runs = ranking.run_scores(*(table(spark, sf, t) for t in ("rubric_scores", "llm_judge_summary", "runs")))
     scored = ranking.combined_scores(runs, ["grid_id"], {"aggregate": 1, "overall": 1, "groundedness": 1})
