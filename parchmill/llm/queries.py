@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import encoding, packing, quality, ranking, repetition
+from parchmill.llm import encoding, packing, quality, ranking, repetition, truncation
 from parchmill.session import table
 
 
@@ -50,6 +50,30 @@ def p3_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.ranked(scored, ["grid_id"], "run_id")
 
 
+def _values(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, truncation.TerminalModel]]:
+    """(field, source, key, text) of both columns, and a terminal model for each."""
+    requests = table(spark, sf, "analyze_requests").select(F.lit("clause_text").alias("field"), "source", F.col("id").alias("key"), F.col("clause_text").alias("text"))
+    responses = table(spark, sf, "analyze_responses").select(
+        F.lit("raw_response").alias("field"), "source", F.col("response_id").alias("key"), F.col("raw_response").alias("text")
+    )
+    models = {"clause_text": truncation.fit_model(requests, "text", "key"), "raw_response": truncation.fit_model(responses, "text", "key")}
+    return requests.union(responses), models
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.cut_texts(*_values(spark, sf)).select("field", F.col("key").alias("record_id")).distinct()
+
+
+def p5_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    values, models = _values(spark, sf)
+    cut = truncation.cut_texts(values, models).groupBy("field", "source").agg(F.countDistinct("key").alias("n_cut"))
+    # a row delivered again is the same key: counted once
+    total = values.select("field", "source", "key").distinct().groupBy("field", "source").agg(F.count(F.lit(1)).alias("n"))
+    joined = total.alias("t").join(cut.alias("c"), (F.col("t.field") == F.col("c.field")) & F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+    n_cut = F.coalesce("c.n_cut", F.lit(0))
+    return joined.select("t.field", "t.source", "t.n", n_cut.alias("n_cut"), F.round(n_cut / F.col("t.n"), 6).alias("cut_share"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     documents = encoding.one_per_id(table(spark, sf, "documents").select("doc_id", "text"))
     return encoding.with_ids(documents).select("doc_id", "ids")
