@@ -25,7 +25,7 @@ SCRIPTS = {
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _LANGUAGE = {w: k for k, ws in FUNCTION_WORDS.items() for w in ws.split() if sum(w in o for o in _WORDS.values()) == 1}
 _SCRIPT = {k: regex.compile(v) for k, v in SCRIPTS.items()}
-_OTHER = regex.compile(r"[^\p{Latin}\P{L}]")
+OTHER = regex.compile(r"[^\p{Latin}\P{L}]")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 
 
@@ -41,7 +41,7 @@ def votes(words: list[str]) -> dict[str, int]:
 
 def script_language(text: str) -> str | None:
     """The language of a text that is not mainly in Latin letters, else None."""
-    if text.isascii() or not _OTHER.search(text):
+    if text.isascii() or not OTHER.search(text):
         return None
     counts = {k: len(p.findall(text)) for k, p in _SCRIPT.items()}
     if counts["ja"]:

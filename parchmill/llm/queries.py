@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import encoding, packing, quality, ranking, repetition, truncation
+from parchmill.llm import defects, encoding, overlap, packing, quality, ranking, repetition, truncation
 from parchmill.session import table
 
 
@@ -60,6 +60,23 @@ def _values(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, truncati
     return requests.union(responses), models
 
 
+def _defective(spark: SparkSession, sf: str) -> DataFrame:
+    responses = table(spark, sf, "analyze_responses").select("response_id", "id", "source", "raw_response")
+    values = responses.select(F.lit("raw_response").alias("field"), "source", F.col("response_id").alias("key"), F.col("raw_response").alias("text"))
+    limits = truncation.limits(truncation.lengths(values))
+    pairs = defects.answered(responses, table(spark, sf, "analyze_requests"), limits)
+    return defects.with_defects(pairs, truncation.fit_model(values, "text", "key"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _defective(spark, sf).select("response_id", F.explode("defects").alias("defect")).distinct()
+
+
+def p4_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    found = _defective(spark, sf).select("response_id", "source", F.explode_outer("defects").alias("defect")).distinct()
+    return found.groupBy("source", F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_texts(*_values(spark, sf)).select("field", F.col("key").alias("record_id")).distinct()
 
@@ -74,6 +91,21 @@ def p5_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("t.field", "t.source", "t.n", n_cut.alias("n_cut"), F.round(n_cut / F.col("t.n"), 6).alias("cut_share"))
 
 
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlapping(table(spark, sf, "analyze_requests").select("id", "clause_text", "split"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _overlaps(spark, sf)
+    return pairs.select(F.least("left", "right").alias("id_a"), F.greatest("left", "right").alias("id_b")).distinct()
+
+
+def p6_by_split_and_source(spark: SparkSession, sf: str) -> DataFrame:
+    hit = _overlaps(spark, sf).select(F.col("right").alias("id")).distinct().withColumn("hit", F.lit(1))
+    rows = table(spark, sf, "analyze_requests").where("split <> 'train'").select("id", "split", "source").distinct()
+    return rows.join(hit, "id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_overlapping"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     documents = encoding.one_per_id(table(spark, sf, "documents").select("doc_id", "text"))
     return encoding.with_ids(documents).select("doc_id", "ids")
