@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import defects, encoding, overlap, packing, quality, ranking, repetition, truncation
+from parchmill.llm import defects, encoding, overlap, packing, quality, ranking, repetition, sentences, truncation
 from parchmill.session import table
 
 
@@ -107,15 +107,32 @@ def p6_by_split_and_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    documents = encoding.one_per_id(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = _documents(spark, sf)
     return encoding.with_ids(documents).select("doc_id", "ids")
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
-    documents = encoding.one_per_id(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = _documents(spark, sf)
     counted = encoding.with_token_count(documents).select("doc_id", "n_tokens")
     return packing.fill_containers(counted, "doc_id", "n_tokens", 1024)
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.one_per_id(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _sentence_model(spark: SparkSession, sf: str) -> sentences.SentenceModel:
+    return sentences.fit_model(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    starts = sentences.with_unit_starts(_documents(spark, sf), _sentence_model(spark, sf))
+    return starts.select("doc_id", F.explode("starts").alias("start_pos"))
+
+
+def p9_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.units(_documents(spark, sf), _sentence_model(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
