@@ -1,5 +1,362 @@
-"""The queries of the core: name -> (spark, folder) -> DataFrame."""
+"""The queries of the core, one for each operator: name -> (spark, folder) -> DataFrame.
 
+Requests stand in for clauses, responses for model answers, documents for a corpus. Rows delivered again are one record.
+Where a table lacks a column that an operator reads (judge replies, reviews, questions), it is derived from the row's
+digest by an expression that the SQL side repeats.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchmill.functions import corrupt, rubric
+from parchmill.functions import text as tx
+from parchmill.operators import clean, judge, sample, split
+from parchmill.session import table
+from parchmill.streaming import resume
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+# ---- bases ----
+
+
+def clauses(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "analyze_requests").select("id", "contract", "category", "clause_text").distinct()
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "analyze_responses").select("response_id", "run_id", "id", "contract", "category", "raw_response").distinct()
+
+
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    return responses(spark, sf).join(clauses(spark, sf).select("id", "clause_text"), "id")
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    return rubric.with_rubric(answered(spark, sf))
+
+
+def rows_scored(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "rubric_scores").select("run_id", "id", *rubric.COMPONENTS, "aggregate").distinct()
+
+
+def judge_reply(key: Column) -> Column:
+    """A reply in one of several shapes, by the key's digest: well-formed, with a preamble, out of range, or free text."""
+    h = tx.row_seed(key)
+    n = lambda d: (F.floor(h / d) % 5 + 1).cast("string")
+    body = F.concat(
+        F.lit("GROUNDEDNESS: "), n(10), F.lit("\nREASONING_QUALITY: "), n(50), F.lit("\nOVERALL: "), n(250),
+        F.lit("\nRATIONALE: The score rests\non the clause. "),
+    )
+    return (
+        F.when(h % 10 == 0, F.lit("The analysis is adequate."))
+        .when(h % 10 == 1, F.regexp_replace(body, r"OVERALL: \d", "OVERALL: 7"))
+        .when(h % 10 == 2, F.concat(F.lit("Here is my verdict.\n"), body))
+        .otherwise(body)
+    )
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    r = responses(spark, sf).select("run_id", "id", F.col("response_id"), judge_reply(F.col("response_id")).alias("judge_reply"))
+    return judge.with_judgement(r)
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    h = tx.row_seed(F.col("id"))
+    return clauses(spark, sf).select("id", F.when(h % 50 == 0, "bad").when(h % 50 < 10, "minor").otherwise("good").alias("verdict"))
+
+
+def source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in the shape of an extraction dataset: a question that names the category, and a list of answers."""
+    question = F.concat(F.lit('Highlight the parts (if any) related to "'), F.col("category"), F.lit('" that should be reviewed.'))
+    answers = F.struct(F.when(F.col("clause_text").isNull(), F.array().cast("array<string>")).otherwise(F.array("clause_text")).alias("text"))
+    return clauses(spark, sf).select("id", F.col("contract").alias("title"), question.alias("question"), answers.alias("answers"))
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    r = responses(spark, sf).select("response_id", "contract", "category", "raw_response")
+    return tx.with_sections(r, "raw_response").select(F.col("response_id").alias("id"), "contract", "category", tx.format_sections(F.col("__s")).alias("target"))
+
+
+# ---- parsing and scalar functions ----
+
+
+def irac_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return tx.with_sections(responses(spark, sf), "raw_response").where("__s is not null").select("response_id", "__s.*")
+
+
+def irac_format_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    once = targets(spark, sf).where("target is not null").select("id", "target")
+    return tx.with_sections(once, "target").select("id", "target", (tx.format_sections(F.col("__s")) == F.col("target")).alias("stable"))
+
+
+def irac_parse_failures(spark: SparkSession, sf: str) -> DataFrame:
+    ok = tx.parse_irac(F.col("raw_response")).isNotNull()
+    return responses(spark, sf).groupBy("run_id").agg(F.count_if(~ok).alias("n_failed"), F.count(F.lit(1)).alias("n"))
+
+
+def judge_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark, sf).select("response_id", "judge_parse_ok", *judge.SCORES, "rationale", "judge_raw")
+
+
+def category_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return source_rows(spark, sf).select("id", tx.category_of(F.col("question")).alias("category"))
+
+
+def content_words(spark: SparkSession, sf: str) -> DataFrame:
+    words = tx.content_words(F.col("clause_text"))
+    return clauses(spark, sf).select("id", F.size(words).cast("bigint").alias("n_words"), F.array_join(F.array_sort(words), " ").alias("words"))
+
+
+def quoted_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return responses(spark, sf).select("response_id", F.posexplode(tx.quoted_spans(F.col("raw_response"))).alias("at", "span"))
+
+
+def score_length(spark: SparkSession, sf: str) -> DataFrame:
+    return responses(spark, sf).where("raw_response is not null").select("response_id", F.round(rubric.length_score(F.col("raw_response")), 10).alias("length_ok"))
+
+
+def row_seed(spark: SparkSession, sf: str) -> DataFrame:
+    return clauses(spark, sf).select("id", tx.row_seed(F.col("id")).alias("seed"))
+
+
+def company_key(spark: SparkSession, sf: str) -> DataFrame:
+    return clauses(spark, sf).select("contract").distinct().select("contract", tx.company_key(F.col("contract")).alias("key"))
+
+
+# ---- filters, cleaning, prompts ----
+
+
+def substantive_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return clauses(spark, sf).where(tx.is_substantive(F.col("clause_text"))).select("id")
+
+
+def excluded_category_filter(spark: SparkSession, sf: str) -> DataFrame:
+    administrative = table(spark, sf, "categories").where("administrative").select("category")
+    return clauses(spark, sf).where("category is not null").join(administrative, "category", "left_anti").select("id", "category")
+
+
+def source_to_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.clauses_from_source(source_rows(spark, sf))
+
+
+def known_bad_antijoin(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.cleaned(clauses(spark, sf), clean.known_bad_ids(reviews(spark, sf))).select("id")
+
+
+def clean_report(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.clean_report(clauses(spark, sf), clean.known_bad_ids(reviews(spark, sf)))
+
+
+def prompt_template(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.with_prompts(clauses(spark, sf)).select("id", "prompt", "teacher_prompt")
+
+
+def judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    return judge.judge_prompts(answered(spark, sf)).select("response_id", "judge_prompt")
+
+
+def duplicate_clause_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.duplicate_audit(clauses(spark, sf))
+
+
+def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.corpus_profile(clauses(spark, sf))
+
+
+# ---- rubric ----
+
+
+def rubric_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).select("response_id", *[F.round(c, 10).alias(c) for c in (*rubric.COMPONENTS, "aggregate")])
+
+
+def score_groundedness(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).where("structure_ok = 1").select("response_id", F.round("groundedness", 10).alias("groundedness"))
+
+
+def score_no_contradiction(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).where("structure_ok = 1").select("response_id", "no_contradiction")
+
+
+def rubric_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rubric.summary(scored(spark, sf))
+
+
+def rubric_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    return rubric.summary(scored(spark, sf), "run_id")
+
+
+def rubric_by_corruption(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = corrupt.preference_pairs(targets(spark, sf)).join(responses(spark, sf).select(F.col("response_id").alias("id"), F.col("id").alias("request")), "id")
+    both = pairs.join(clauses(spark, sf).select(F.col("id").alias("request"), "clause_text"), "request")
+    return rubric.with_rubric(both, "rejected").groupBy("corruption_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("aggregate"), 10).alias("aggregate"))
+
+
+# ---- pairs ----
+
+
+def _corrupted(kind: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return corrupt.corrupted(targets(spark, sf), kind).where("rejected is not null").select("id", "rejected")
+
+    return query
+
+
+corrupt_drop_section = _corrupted("drop_section")
+corrupt_reorder = _corrupted("reorder_sections")
+corrupt_wrong_citation = _corrupted("wrong_citation")
+corrupt_unsupported_claim = _corrupted("unsupported_claim")
+corrupt_contradict = _corrupted("contradict_conclusion")
+corrupt_truncate = _corrupted("truncate")
+
+
+def dpo_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return corrupt.preference_pairs(targets(spark, sf)).select("id", "contract", "category", "chosen", "rejected", "corruption_type")
+
+
+def dpo_pairs_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return corrupt.preference_pairs_exact(targets(spark, sf)).select("id", "chosen", "rejected", "corruption_type")
+
+
+def corruption_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return dpo_pairs(spark, sf).groupBy("corruption_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sft_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    prompts = clean.with_prompts(clauses(spark, sf)).select(F.col("id").alias("request"), "prompt")
+    t = tx.with_sections(responses(spark, sf), "raw_response").select(F.col("id").alias("request"), tx.format_sections(F.col("__s")).alias("completion"))
+    return t.where("completion is not null").join(prompts, "request").select("prompt", "completion")
+
+
+# ---- split ----
+
+
+def spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups named by language and source: those of one language count as one company, and share texts."""
+    name = F.concat(F.coalesce("lang", F.lit("und")), F.lit("_"), F.col("source")).alias("contract")
+    return table(spark, sf, "analyze_requests").select("id", name, "clause_text").distinct()
+
+
+def shared_clause_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return split.shared_text_pairs(spellings(spark, sf), min_shared=1)
+
+
+def duplicate_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return split.duplicate_groups(spellings(spark, sf), min_shared=3)
+
+
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    return split.split_records(clauses(spark, sf), min_shared=1)
+
+
+def contract_split(spark: SparkSession, sf: str) -> DataFrame:
+    return _split(spark, sf).select("contract", "split").distinct()
+
+
+def split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return split.split_counts(_split(spark, sf))
+
+
+def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    return split.leaks(_split(spark, sf))
+
+
+def contract_split_exact(spark: SparkSession, sf: str) -> DataFrame:
+    names = [r[0] for r in clauses(spark, sf).select("contract").where("contract is not null").distinct().toLocalIterator()]
+    return spark.createDataFrame(sorted(split.assign_groups_exact(names).items()), "contract string, split string")
+
+
+# ---- samples ----
+
+
+def category_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.capped(clauses(spark, sf).where("category is not null"), "category", 20).select("id", "category")
+
+
+def id_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.sampled(clauses(spark, sf).select("id").distinct(), 150, "id")
+
+
+def review_sample(spark: SparkSession, sf: str) -> DataFrame:
+    s = rows_scored(spark, sf).where("aggregate is not null and structure_ok is not null and groundedness is not null and length_ok is not null and no_contradiction is not null")
+    keyed = s.withColumn("key", F.concat_ws("|", "run_id", "id"))
+    return sample.review_sample(keyed, key="key").select("key", "sample_reason", "rubric_aggregate")
+
+
+def review_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.review_sheet(review_sample(spark, sf), ["key", "sample_reason", "rubric_aggregate"], ["reviewer_verdict", "reviewer_notes"])
+
+
+def judge_validation_join(spark: SparkSession, sf: str) -> DataFrame:
+    joined = judge.judged_with_rubric(scored(spark, sf), judged(spark, sf))
+    return joined.select("run_id", "id", "judge_overall", F.round("rubric_aggregate", 10).alias("rubric_aggregate"), "disagreement")
+
+
+def judge_validation_sample(spark: SparkSession, sf: str) -> DataFrame:
+    joined = judge.judged_with_rubric(scored(spark, sf), judged(spark, sf))
+    return sample.validation_sample(joined).select("run_id", "id", "sample_reason", "judge_overall", "disagreement")
+
+
+# ---- summaries ----
+
+
+def judge_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return judge.judge_summary(judged(spark, sf))
+
+
+def consolidated_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return judge.consolidated(rubric_by_run(spark, sf), judge_summary(spark, sf))
+
+
+def validation_findings(spark: SparkSession, sf: str) -> DataFrame:
+    joined = judge.judged_with_rubric(scored(spark, sf), judged(spark, sf))
+    verdict = F.when(tx.row_seed(F.col("id")) % 100 < 54, "upheld").otherwise("overturned")
+    return judge.validation_findings(joined.withColumn("verdict", verdict), "run_id", "judge_overall")
+
+
+def split_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Contracts whose split differs between the clauses and the responses that answer them: none."""
+    a = _split(spark, sf).select("contract", "split").distinct()
+    b = a.join(responses(spark, sf).select("contract").distinct(), "contract", "left_semi")
+    return b.exceptAll(a).unionByName(b.intersect(a).exceptAll(b))
+
+
+# ---- resumable runs ----
+
+
+def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that no response answers yet."""
+    return resume.pending(clauses(spark, sf).select("id").distinct(), responses(spark, sf).select("id").distinct())
+
+
+def id_list_semijoin(spark: SparkSession, sf: str) -> DataFrame:
+    return resume.restricted(responses(spark, sf), id_sample(spark, sf)).select("response_id", "id")
+
+
+def model_run_stub(spark: SparkSession, sf: str) -> DataFrame:
+    """A run with a stand-in for a model: it gives the prompt's last words back, and is not asked for quality."""
+
+    def echo(prompts: list[str]) -> list[str]:
+        return [f"Issue: {len(p)}\nRule: r\nApplication: a\nConclusion: c" if len(p) % 3 else "no sections" for p in prompts]
+
+    return resume.targets(clean.with_prompts(clauses(spark, sf)), echo).select("id", "target", "parse_ok")
+
+
+def analyze_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The service's guard over a batch: why a clause would be turned away, or its prompt."""
+    reason = F.when(F.coalesce("clause_text", F.lit("")) == "", "empty").when(~tx.is_substantive(F.col("clause_text")), "not substantive")
+    fields = {"category": F.col("category"), "clause_text": F.col("clause_text")}
+    return clauses(spark, sf).select("id", reason.alias("reason"), F.when(reason.isNull(), tx.filled(tx.PROMPT, **fields)).alias("prompt"))
+
+
+_BASES = {"clauses", "responses", "answered", "scored", "rows_scored", "judged", "reviews", "source_rows", "spellings", "targets"}
+
+
+def queries() -> dict[str, Query]:
+    own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ or n.startswith("corrupt_")}
+    return {n: f for n, f in own.items() if not n.startswith("_") and n not in _BASES | {"queries", "judge_reply"}}
