@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.llm import defects, encoding, overlap, packing, quality, ranking, repetition, sentences, truncation
-from parchmill.session import table
+from parchmill.session import table, written
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _values(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, truncati
 def _defective(spark: SparkSession, sf: str) -> DataFrame:
     responses = table(spark, sf, "analyze_responses").select("response_id", "id", "source", "raw_response")
     values = responses.select(F.lit("raw_response").alias("field"), "source", F.col("response_id").alias("key"), F.col("raw_response").alias("text"))
-    limits = truncation.limits(truncation.lengths(values))
+    limits = written(truncation.limits(truncation.lengths(values)), "limits")
     pairs = defects.answered(responses, table(spark, sf, "analyze_requests"), limits)
     return defects.with_defects(pairs, truncation.fit_model(values, "text", "key"))
 
