@@ -49,12 +49,10 @@ def length_score(text: Column, low: int = MIN_WORDS, high: int = MAX_WORDS) -> C
     return F.when(n < low, n / F.lit(float(low))).when(n > high, F.lit(float(high)) / n).otherwise(1.0)
 
 
-def groundedness(application: Column, rule: Column, clause: Column) -> Column:
+def groundedness(quotes: Column, words: Column, rule: Column, clause: Column) -> Column:
     """Share of quoted spans found in the clause, or word overlap where none is quoted; 0 if the rule cites authority."""
-    quotes = tx.quoted_spans(application)
     plain = tx.normalized(clause)
     hits = F.size(F.filter(quotes, lambda q: F.contains(plain, tx.normalized(q))))
-    words = tx.content_words(application)
     overlap = F.size(F.array_intersect(words, tx.content_words(clause)))
     bar = F.greatest(F.bround(F.size(words) * F.lit(OVERLAP_SHARE), 0), F.lit(1.0))
     by_clause = (
@@ -70,10 +68,12 @@ def flat_assertions(text: Column) -> Column:
     return F.array_join(F.filter(tx.sentences(F.lower(text)), lambda s: ~s.rlike(any_of(HEDGES))), "\n|\n")
 
 
-def no_contradiction(application: Column, conclusion: Column) -> Column:
-    """0 if the conclusion reverses or undermines itself, or asserts the opposite of what the application asserts."""
+def no_contradiction(said: Column, drawn: Column, conclusion: Column) -> Column:
+    """0 if the conclusion reverses or undermines itself, or asserts the opposite of what the application asserts.
+
+    ``said`` and ``drawn`` are what the application and the conclusion assert.
+    """
     low = F.lower(conclusion)
-    said, drawn = flat_assertions(application), flat_assertions(conclusion)
     has = {t: (said.rlike(rf"\b{t}\b"), drawn.rlike(rf"\b{t}\b")) for p in OPPOSITES for t in p}
     clash = F.lit(False)
     for pos, neg in OPPOSITES:
@@ -92,16 +92,25 @@ def with_rubric(df: DataFrame, response: str = "raw_response", clause: str = "cl
     parsed = tx.with_sections(df, response)
     s, ok = F.col("__s"), F.col("__s").isNotNull()
     clause_text = F.coalesce(F.col(clause), F.lit(""))
+    # what several terms ask for becomes a column, so that it is worked out once a row
+    parsed = parsed.withColumns(
+        {
+            "__said": F.when(ok, flat_assertions(s["Application"])),
+            "__drawn": F.when(ok, flat_assertions(s["Conclusion"])),
+            "__quotes": F.when(ok, tx.quoted_spans(s["Application"])),
+            "__used": F.when(ok, tx.content_words(s["Application"])),
+        }
+    )
     scored = parsed.withColumns(
         {
             "structure_ok": F.when(ok, 1.0).otherwise(0.0),
-            "groundedness": F.when(ok, groundedness(s["Application"], s["Rule"], clause_text)).otherwise(0.0),
+            "groundedness": F.when(ok, groundedness(F.col("__quotes"), F.col("__used"), s["Rule"], clause_text)).otherwise(0.0),
             "length_ok": F.when(ok, length_score(F.col(response))).otherwise(0.0),
-            "no_contradiction": F.when(ok, no_contradiction(s["Application"], s["Conclusion"])).otherwise(0.0),
+            "no_contradiction": F.when(ok, no_contradiction(F.col("__said"), F.col("__drawn"), s["Conclusion"])).otherwise(0.0),
         }
     )
     a, b, c, d = (F.col(x) for x in COMPONENTS)
-    return scored.drop("__s").withColumn("aggregate", (a + b + c + d) / 4)
+    return scored.drop("__s", "__said", "__drawn", "__quotes", "__used").withColumn("aggregate", (a + b + c + d) / 4)
 
 
 def summary(scored: DataFrame, *by: str) -> DataFrame:
