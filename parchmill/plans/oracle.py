@@ -265,7 +265,9 @@ def sql() -> dict[str, str]:
         "contract_split": f"WITH RECURSIVE {SPLIT} SELECT DISTINCT contract, split FROM s",
         "split_counts": f"WITH RECURSIVE {SPLIT} SELECT split, count(*) AS n_rows, count(DISTINCT contract) AS n_groups FROM s GROUP BY 1",
         "split_leakage": f"WITH RECURSIVE {SPLIT} SELECT contract, count(DISTINCT split) AS n_splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1",
-        "split_agreement": f"WITH RECURSIVE {SPLIT} SELECT contract, split FROM s WHERE false",
+        "split_agreement": f"WITH RECURSIVE {SPLIT}, {PAIRS}, sp AS (SELECT DISTINCT contract, split FROM s), "
+        "x AS (SELECT t.id, sp.split FROM t JOIN sp USING (contract)), y AS (SELECT d.id, sp.split FROM d JOIN sp USING (contract)) "
+        "(SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL (SELECT * FROM y EXCEPT ALL SELECT * FROM x)",
         "category_cap": f"WITH {C} SELECT id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {order(42, 'id')}, id) AS k FROM c WHERE category IS NOT NULL) WHERE k <= 20",
         "id_sample": f"WITH {C} SELECT DISTINCT id FROM c ORDER BY {order(42, 'id')}, id LIMIT 150".replace("SELECT DISTINCT id FROM c", "SELECT id FROM (SELECT DISTINCT id FROM c)"),
         "review_sample": f"WITH {_SAMPLE_BASE} SELECT * FROM rs",

@@ -320,10 +320,11 @@ def validation_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Contracts whose split differs between the clauses and the responses that answer them: none."""
-    a = _split(spark, sf).select("contract", "split").distinct()
-    b = a.join(responses(spark, sf).select("contract").distinct(), "contract", "left_semi")
-    return b.exceptAll(a).unionByName(b.intersect(a).exceptAll(b))
+    """Ids that the targets and the preference pairs do not put in the same split: none."""
+    where = _split(spark, sf).select("contract", "split").distinct()
+    a = targets(spark, sf).where("target is not null").select("id", "contract").join(where, "contract").select("id", "split")
+    b = dpo_pairs(spark, sf).select("id", "contract").join(where, "contract").select("id", "split")
+    return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
 # ---- resumable runs ----
