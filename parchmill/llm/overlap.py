@@ -1,10 +1,11 @@
 """Problem 6: records of one split that also stand, equal or almost equal, in another.
 
-A sparse suffix array over all texts, word by word: suffixes start where the hash of the next words is least in its
-window, so any shared passage of ``BLOCK + WINDOW - 1`` words or more has a start in common. Suffixes are partitioned by
-their first ``BLOCK`` words and sorted by what follows; each is linked to the nearest suffix of the other split on either
-side. The links of two records are merged into one pair, and what the two share is then measured over their whole texts, word
-by word. Equal texts are one class throughout and are told apart only in the result.
+A sparse suffix array over all texts, word by word, that loses no pair. Of two texts within the limit, ``d`` words apart,
+the suffixes at the rarest word pairs are taken from each until ``d + 1`` of their word pairs do not overlap: ``d`` edits
+cannot touch them all, so the rarest word pair that is left whole is among those taken on both sides, at places at most
+``d`` apart. Suffixes are partitioned by their first two words and sorted by place; those of two splits are compared
+by what stands before and behind them, and what is left is measured over the whole texts, word by word. Counts of word
+pairs only order the suffixes and spread the work. Equal texts are one class throughout and are told apart only in the result.
 """
 
 from __future__ import annotations
@@ -13,27 +14,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.session import release, written
 
-#: Words of the key that partitions the suffixes, of what they are sorted by after it, and positions of which one starts.
-BLOCK, NEXT, WINDOW = 6, 8, 7
+#: Words of the key that partitions the suffixes, and positions of which one may start a suffix.
+BLOCK, WINDOW = 2, 1
 #: Texts with fewer words are not compared.
 MIN_WORDS = 8
-#: Links that a pair needs, counted from either side, unless one of them goes on through the next words too.
-MIN_LINKS = 3
 #: At most this share of the words of the longer text may differ.
 MAX_DIFFERENCE = 0.2
-#: A key with this share of a sample's suffixes, or more, is split by what follows it, into so many parts.
-HOT_SHARE, HOT_PARTS, HOT_SAMPLE = 0.002, 64, 20_000
+#: Buckets in which keys are counted, and the rows of each chunk that the counts travel in.
+BUCKETS, CHUNK = 1 << 20, 1 << 14
+#: A key whose two splits make more comparisons is split among tasks, into at most so many parts.
+HOT_WORK, HOT_PARTS = 10_000_000, 64
 #: Classes a task remembers, so that it emits the suffixes of equal texts once.
 SEEN = 500_000
+#: Words, padded, and comparisons that are worked on at a time.
+CELLS, COMPARED = 1_000_000, 2_000_000
 
-#: ``next`` holds what the suffix is sorted by in its upper half, the text's number of words in the lower; ``who`` is the
-#: class with its lowest bit set for side 2.
-_EDGE = "key bigint, next int, who bigint"
+#: ``at`` holds the place in its upper half, the text's number of words in the lower; ``who`` is the class with its lowest
+#: bit set for side 2; the marks have a bit for each word before the key, or behind it, by its
+#: hash.
+_MARKS = ("before1", "behind1", "before2", "behind2")
+_EDGE = "key int, at bigint, who bigint, " + ", ".join(f"{m} bigint" for m in _MARKS)
 
 
 def plain(text: Column) -> Column:
@@ -92,48 +97,84 @@ def _rolling(w: np.ndarray, n: int) -> np.ndarray:
     return _mixed(h)
 
 
-def suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, next) of the suffixes that start where the window's least hash is, over all texts at once.
+def reach(n: np.ndarray) -> np.ndarray:
+    """The most words that a text of ``n`` words can be apart from another, longer ones included."""
+    return (n * (MAX_DIFFERENCE / (1 - MAX_DIFFERENCE)) + 1e-9).astype(np.int64)
 
-    Texts are padded apart with words of their own, so no key and no window reaches into another text.
-    """
+
+def suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, position) of every suffix of ``BLOCK`` words or more."""
     split = [t.split(" ") for t in texts]
     sizes = np.array([len(s) for s in split])
-    pad = NEXT + BLOCK
-    flat = word_numbers([t for s in split for t in s])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    keys = _rolling(word_numbers([t for s in split for t in s]), BLOCK)
     owner = np.repeat(np.arange(len(split)), sizes)
-    w = np.zeros(len(flat) + pad * len(split), np.uint64)
-    at = np.arange(len(flat)) + pad * owner
-    w[at] = flat
-    keys = _rolling(w, BLOCK)
-    after = np.zeros(len(keys), np.uint64)
-    follow = _rolling(w, NEXT)
-    after[: len(follow) - BLOCK] = follow[BLOCK:]
-    place = np.arange(len(flat)) - starts[owner]  # position in the text
-    whole = place <= sizes[owner] - BLOCK
-    rank = np.full(len(w), np.iinfo(np.uint64).max, np.uint64)
-    rank[at[whole]] = keys[at[whole]]
-    least = np.full(len(w), np.iinfo(np.uint64).max, np.uint64)
-    # a position starts a suffix if it is the least of any window of WINDOW positions that holds it
-    padded = np.concatenate((rank, np.full(WINDOW, np.iinfo(np.uint64).max, np.uint64)))
-    least = padded[: len(rank)].copy()
-    for k in range(1, WINDOW):
-        np.minimum(least, padded[k : k + len(rank)], out=least)
-    chosen = np.zeros(len(w), bool)
-    for k in range(WINDOW):
-        # the window that began k positions before
-        chosen[k:] |= rank[k:] == least[: len(least) - k]
-    take = whole & chosen[at]
-    pos = at[take]
-    order = (after[pos] >> np.uint64(49)).astype(np.int32) << 16
-    return owner[take], keys[pos].view(np.int64), order | np.minimum(sizes[owner[take]], 0xFFFF).astype(np.int32)
-
-
-def _emit(hot: frozenset[int]):
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = (place <= sizes[owner] - BLOCK)[: len(keys)]
+    return owner[: len(keys)][whole], keys[whole].view(np.int64), place[: len(keys)][whole]
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+
+def _chosen(rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each row's suffixes those of least rank, until one more than ``reach`` of them do not overlap."""
+    place = np.empty(rank.shape, np.int64)
+    np.put_along_axis(place, np.argsort(rank, axis=1, kind="stable"), np.arange(rank.shape[1])[None, :], axis=1)
+    need = reach(sizes) + 1
+    low, high = need.copy(), sizes - BLOCK + 1
+    column = np.arange(rank.shape[1])[None, :]
+    while (low < high).any():
+        middle = (low + high) // 2
+        taken = place < middle[:, None]
+        # in a run of neighbours every second one is free of the others
+        start = np.maximum.accumulate(np.where(taken, -1, column), axis=1)
+        apart = (taken & ((column - start) % BLOCK == 1)).sum(axis=1)
+        high, low = np.where(apart >= need, middle, high), np.where(apart >= need, low, np.minimum(middle + 1, high))
+    return place < high[:, None]
+
+
+def starts(texts: list[str], side: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, key, place, marks) of the suffixes that decide, but those whose key no other side has."""
+    split = [t.split(" ") for t in texts]
+    sizes = np.array([len(s) for s in split])
+    flat = word_numbers([t for s in split for t in s])
+    begin = np.cumsum(sizes) - sizes
+    bit, half = np.uint64(1) << (flat >> np.uint64(58)), (flat >> np.uint64(57)) & np.uint64(1)
+    bits = [np.where(half == h, bit, np.uint64(0)) for h in range(2)]
+    flat = np.append(flat, np.zeros(1, np.uint64))
+    keys = _rolling(flat, BLOCK)
+    found = bucket(keys)
+    # ties by hash: equal keys have equal ranks
+    rank = (counts.sum(axis=0, dtype=np.int64)[found] << 40) | (keys >> np.uint64(24)).astype(np.int64)
+    out, order, k = [], np.argsort(sizes, kind="stable"), 0
+    while k < len(order):
+        n = int(np.searchsorted(sizes[order[k:]] * np.arange(1, len(order) - k + 1), CELLS, "right")) or 1
+        rows = order[k : k + n]
+        k += n
+        column = np.arange(int(sizes[rows].max()))[None, :]
+        inside = column < sizes[rows][:, None]
+        at = np.where(inside, begin[rows][:, None] + column, 0)
+        whole = column <= (sizes[rows] - BLOCK)[:, None]
+        take = whole & _chosen(np.where(whole, rank[at], np.iinfo(np.int64).max), sizes[rows])
+        i, j = np.nonzero(take)
+        o = at[i, j]
+        other = counts[2 - side[rows][i], found[o]] > 0
+        i, j, o = i[other], j[other], o[other]
+        marks = []
+        for b in bits:
+            bit = np.where(inside, b[at], np.uint64(0))
+            before, behind = np.zeros_like(bit), np.zeros_like(bit)
+            before[:, 1:] = np.bitwise_or.accumulate(bit, axis=1)[:, :-1]
+            behind[:, :-BLOCK] = np.bitwise_or.accumulate(bit[:, ::-1], axis=1)[:, ::-1][:, BLOCK:]
+            marks += [before[i, j], behind[i, j]]
+        out.append((rows[i], keys[o], j, *marks))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _emit(counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
-        hot_keys = np.array(sorted(hot), np.int64)
         for b in batches:
             fresh = [k not in seen for k in zip(b["class"], b["side"])]
             b = b[fresh].drop_duplicates(["class", "side"])
@@ -142,49 +183,105 @@ def _emit(hot: frozenset[int]):
             seen.update(zip(b["class"], b["side"]))
             if not len(b):
                 continue
-            owner, key, after = suffixes(b["words"].tolist())
-            if len(hot_keys):
-                busy = np.isin(key, hot_keys)
-                key = np.where(busy, key + ((after >> 16) % HOT_PARTS + 1).astype(np.int64) * np.int64(0x51ED270B7F4A7C15 >> 1), key)
-            who = b["class"].to_numpy() | (b["side"].to_numpy() == 2)
-            yield pd.DataFrame({"key": key, "next": after, "who": who[owner]})
+            side = b["side"].to_numpy().astype(np.int64)
+            owner, key, place, *marks = starts(b["words"].tolist(), side, counts)
+            n = b["n"].to_numpy().astype(np.int64)[owner]
+            who = (b["class"].to_numpy() | (side == 2))[owner]
+            # of a hot key, side 2 goes to every part and each class of side 1 to one: all meet, once
+            parts = split_into(counts)[bucket(key)]
+            two = side[owner] == 2
+            again = np.repeat(np.arange(len(key)), np.where(two, parts, 1))
+            part = np.arange(len(again)) - np.searchsorted(again, again)
+            part = np.where(two[again], part, (who[again] >> 1) % parts[again]).astype(np.uint64)
+            short = (_mixed(key[again] + part * _MULT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            columns = {"key": short, "at": (place[again] << 32) | n[again], "who": who[again]}
+            yield pd.DataFrame({**columns, **{name: m[again].view(np.int64) for name, m in zip(_MARKS, marks)}})
 
     return run
 
 
-def hot_keys(rec: DataFrame, rows: int = HOT_SAMPLE) -> frozenset[int]:
-    """Keys that hold ``HOT_SHARE`` of a bounded sample's suffixes: at most ``1 / HOT_SHARE`` of them, by arithmetic."""
-    sample = rec.where(F.pmod(F.xxhash64("key"), F.lit(64)) == 0).select("words", "class", "side").limit(rows)
-    found = sample.mapInPandas(_emit(frozenset()), _EDGE).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    top = found.orderBy(F.desc("n")).limit(int(1 / HOT_SHARE) + 1)
-    all_n = found.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r["key"] for r in top.collect() if r["n"] >= max(50, HOT_SHARE * all_n))
-
-
-def links(rec: DataFrame, hot: frozenset[int] = frozenset()) -> DataFrame:
-    """(a, b): classes of side 1 and side 2 linked by neighbouring suffixes, of texts about as long."""
-    suf = rec.select("words", "class", "side").mapInPandas(_emit(hot), _EDGE)
-    up = Window.partitionBy("key").orderBy("next", "who").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("key").orderBy(F.desc("next"), F.desc("who")).rowsBetween(Window.unboundedPreceding, -1)
-    here, odd = F.struct("who", "next"), F.col("who").bitwiseAND(1) == 1
-    near = suf
-    for name, w in (("u", up), ("d", down)):
-        near = near.withColumns(
-            {f"{name}1": F.last(F.when(~odd, here), ignorenulls=True).over(w), f"{name}2": F.last(F.when(odd, here), ignorenulls=True).over(w)}
-        )
-    other = lambda name: F.when(odd, F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
-    one = near.select("who", "next", F.explode(F.array(other("u"), other("d"))).alias("o")).where("o is not null")
-    pair = one.select(
-        F.when(odd, F.col("o.who")).otherwise(F.col("who")).alias("a"),
-        (F.when(odd, F.col("who")).otherwise(F.col("o.who")) - 1).alias("b"),
-        F.col("next").bitwiseAND(0xFFFF).alias("n"),
-        F.col("o.next").bitwiseAND(0xFFFF).alias("m"),
-        (F.shiftright("next", 16) == F.shiftright("o.next", 16)).alias("on"),
-    )
-    # texts of too unequal length differ too much whatever their words are
-    near_length = F.abs(F.col("n") - F.col("m")) <= F.greatest("n", "m") * MAX_DIFFERENCE + 1e-9
-    counted = pair.where((F.col("a") != F.col("b")) & near_length).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("on").alias("on"))
-    return counted.where((F.col("n") >= MIN_LINKS) | F.col("on")).select("a", "b")
+def split_into(counts: np.ndarray) -> np.ndarray:
+    """Parts of each bucket's keys."""
+    return np.clip(-(-counts[0].astype(np.int64) * counts[1] // HOT_WORK), 1, HOT_PARTS)
+
+
+def hot_keys(rec: DataFrame) -> np.ndarray:
+    """How often the keys of each bucket stand in side 1 and in side 2, over all rows; up to 65,535. Always of one size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            owner, key, _ = suffixes(b["words"].tolist())
+            cell = (b["side"].to_numpy().astype(np.int64)[owner] - 1) * BUCKETS + bucket(key)
+            total += np.bincount(cell, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+        flat = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, CHUNK)
+        some = [k for k in range(len(flat)) if flat[k].any()]
+        yield pd.DataFrame({"chunk": pd.Series(some, dtype="int32"), "n": [flat[k].tobytes() for k in some]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["n"])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "n": [np.minimum(total, 65_535).astype(np.uint16).tobytes()]})
+
+    schema = "chunk int, n binary"
+    out = np.zeros((2 * BUCKETS // CHUNK, CHUNK), np.uint16)
+    for r in rec.select("words", "side").mapInPandas(count, schema).groupBy("chunk").applyInPandas(add, schema).collect():
+        out[r["chunk"]] = np.frombuffer(r["n"], np.uint16)
+    return out.reshape(2, BUCKETS)
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(who of side 1, who of side 2) of the suffixes of one key that may belong to texts within the limit.
+
+    ``x`` and ``y`` are rows of key and place, number of words, who and marks: each sorted by the first.
+    """
+    low = y[0] >> 31 << 31
+    most = reach(y[1])
+    first = np.searchsorted(x[0], np.maximum(y[0] - most, low))
+    size = np.searchsorted(x[0], np.minimum(y[0] + most, low + (1 << 31) - 1), "right") - first
+    out, k, upto = [np.empty((2, 0), np.int64)], 0, np.cumsum(size)
+    while k < len(size):
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + COMPARED, "right")))
+        s = size[k:end]
+        j = np.repeat(np.arange(k, end), s)
+        i = np.arange(len(j)) + np.repeat(first[k:end] - (np.cumsum(s) - s), s)
+        k = end
+        limit = (MAX_DIFFERENCE * np.maximum(x[1][i], y[1][j]) + 1e-9).astype(np.int64)
+        left = np.abs(x[0][i] - y[0][j])
+        right = np.abs(x[0][i] - x[1][i] - y[0][j] + y[1][j])
+        keep = left + right <= limit
+        i, j, left, right, limit = i[keep], j[keep], left[keep], right[keep], limit[keep]
+        # each word that only one of them has before the key, or behind it, is a difference of its own
+        for c, d in ((3, left), (4, right)):
+            p, q = x[c::2][:, i].view(np.uint64), y[c::2][:, j].view(np.uint64)
+            np.maximum(d, np.maximum(np.bitwise_count(p & ~q).sum(axis=0, dtype=np.int64), np.bitwise_count(q & ~p).sum(axis=0, dtype=np.int64)), out=d)
+        keep = left + right <= limit
+        out.append(np.unique(np.stack((x[2][i[keep]], y[2][j[keep]])), axis=1))
+    return np.concatenate(out, axis=1)
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by key and place; of the last key those are held that later rows can still reach."""
+    held = np.empty((3 + len(_MARKS), 0), np.int64)
+    for b in batches:
+        if not len(b):
+            continue
+        at = b["at"].to_numpy()
+        new = np.stack((b["key"].to_numpy().astype(np.int64) << 31 | at >> 32, at & 0xFFFFFFFF, b["who"], *(b[m] for m in _MARKS)))
+        two, old = new[2] & 1 == 1, held[2] & 1 == 1
+        x, y = new[:, ~two], new[:, two]
+        pairs = np.concatenate((_near(np.concatenate((held[:, ~old], x), axis=1), y), _near(x, held[:, old])), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1] - 1]
+        if pairs.shape[1]:
+            yield pd.DataFrame({"a": pairs[0], "b": pairs[1] - 1}).drop_duplicates()
+        held = np.concatenate((held, new), axis=1)
+        last = held[0, -1]
+        held = held[:, (held[0] >> 31 == last >> 31) & (held[0] + reach(held[1]) >= last)]
+
+
+def links(rec: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(a, b): classes of side 1 and side 2 that may be within the limit; every pair that is within it is among them."""
+    suf = rec.select("words", "n", "class", "side").mapInPandas(_emit(counts), _EDGE)
+    return suf.repartition("key").sortWithinPartitions("key", "at").mapInPandas(_linked, "a bigint, b bigint").distinct()
 
 
 def difference(a: list[str], b: list[str], most: int) -> int:
@@ -236,28 +333,16 @@ def verified(pairs: DataFrame, rec: DataFrame) -> DataFrame:
     return both.withColumn("close", close("x", "y")).where("close").select("a", "b")
 
 
-def overlapping(df: DataFrame, key: str = "id", text: str = "clause_text", split: str = "split", rounds: int = 8) -> DataFrame:
+def overlapping(df: DataFrame, key: str = "id", text: str = "clause_text", split: str = "split") -> DataFrame:
     """(left, right): every pair of a ``train`` record and a record of another split that are equal or almost equal.
 
     Null and blank texts, texts under ``MIN_WORDS`` words and rows without a split match nothing. A row delivered again is
-    one record. Pairs of classes found are closed: whatever is linked to the same partner is compared too, until no new
-    pair comes. An empty table gives an empty result.
+    one record. An empty table gives an empty result.
     """
     rec = written(records(df, key, text, split), "records")
     linked = written(links(rec, hot_keys(rec)), "links")
     release(df.sparkSession)  # the suffixes' shuffle files are larger than all that follows
     found = written(verified(linked, rec), "pairs")
-    for _ in range(rounds):
-        x, y, z = found.alias("x"), found.alias("y"), found.alias("z")
-        step = x.join(y, F.col("x.b") == F.col("y.b")).join(z, F.col("y.a") == F.col("z.a"))
-        new = step.select(F.col("x.a").alias("a"), F.col("z.b").alias("b")).where("a <> b").distinct().join(found, ["a", "b"], "left_anti")
-        new = written(new, "closure")
-        if new.isEmpty():
-            break
-        more = written(verified(new, rec), "pairs")
-        if more.isEmpty():
-            break
-        found = written(found.union(more), "pairs")
     member = rec.select("key", "side", "class").distinct()
     left = member.where("side = 1").select("class", F.col("key").alias("left"))
     right = member.where("side = 2").select("class", F.col("key").alias("right"))

@@ -152,6 +152,26 @@ def test_a_hot_passage_is_split_and_loses_nothing(spark):
     assert [tuple(r) for r in overlap.overlapping(df).collect()] == [("a", "b")]
 
 
+def brute_overlap(rows):
+    return {(a, b) for a, x, s in rows for b, y, t in rows if s == "train" != t and distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9}
+
+
+def found_overlap(spark, rows):
+    df = spark.createDataFrame([(k, " ".join(w), s) for k, w, s in rows], "id string, clause_text string, split string")
+    return {tuple(r) for r in overlap.overlapping(df).collect()}
+
+
+def test_every_partner_behind_a_common_passage_is_found(spark):
+    rng = random.Random(7)
+    common, rows = words(rng, 16), []
+    for f in range(30):  # families that share only the passage, with members of unequal length between them
+        tail = words(rng, 24)
+        rows += [(f"t{f:02d}{k}", common + edits(rng, tail, 3 * k), "train") for k in range(3)]
+        rows += [(f"v{f:02d}{k}", common + edits(rng, tail, 2 * k), "valid") for k in range(3)] + [(f"z{f:02d}", common + words(rng, 1 + f), "test")]
+    want = brute_overlap(rows)
+    assert len(want) >= 200 and found_overlap(spark, rows) == want
+
+
 # ---- problem 8 ----
 
 
