@@ -172,6 +172,16 @@ def test_every_partner_behind_a_common_passage_is_found(spark):
     assert len(want) >= 200 and found_overlap(spark, rows) == want
 
 
+def test_edits_up_to_the_limit_are_found_at_every_length(spark):
+    rng = random.Random(8)
+    rows = []
+    for i, n in enumerate([*range(8, 34), 40, 60, 85, 120, 200] * 6):
+        text = words(rng, n)
+        rows += [(f"t{i:03d}", text, "train"), (f"v{i:03d}", edits(rng, text, n // 5), "test")]
+    want = brute_overlap(rows)
+    assert len(want) >= 180 and found_overlap(spark, rows) == want
+
+
 # ---- problem 8 ----
 
 
