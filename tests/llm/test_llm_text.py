@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parchmill.llm import defects, encoding, lexicon, quality, repetition, sentences, truncation
+from parchmill.llm import defects, encoding, lexicon, quality, queries, repetition, sentences, truncation
 
 PROSE = "The Carrier shall deliver the sealed goods within ten days after the notice, and the Buyer must pay the agreed price."
 TABLE = "| Item | Fee |\n| sealed kegs | 12.50 |\n| woven maps | 33 % |\n| old dies | 1,204 |"
@@ -95,6 +95,21 @@ def test_outliers_of_equal_rows_and_of_nothing(spark):
     assert repetition.repetitive(same.limit(0), "t", "id").isEmpty()
 
 
+@pytest.mark.parametrize("share", [0.5, 0.6, 1.0])
+def test_loops_that_fill_their_group_are_found(spark, tmp_path, share):
+    rng = random.Random(9)
+    rows = []
+    for i in range(200):
+        loop = i < 200 * share
+        phrase = " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(5, 9)))
+        rows.append((f"{'x' if loop else 'p'}{i:03d}", "s", (phrase + ". ") * rng.randint(4, 9) if loop else " ".join(f"w{rng.randint(0, 999)}" for _ in range(50))))
+    df = spark.createDataFrame(rows, "response_id string, source string, raw_response string")
+    want = {k for k, *_ in rows if k[0] == "x"}
+    assert {r.response_id for r in repetition.repetitive(df, "raw_response", "response_id").where("repetitive").collect()} == want
+    df.write.parquet(f"{tmp_path}/analyze_responses.parquet")
+    assert {r.response_id for r in queries.p2_found(spark, str(tmp_path)).collect()} == want
+
+
 # ---- problems 4 and 5 ----
 
 
