@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,22 @@ def test_edits_up_to_the_limit_are_found_at_every_length(spark):
     assert len(want) >= 180 and found_overlap(spark, rows) == want
 
 
+def test_splitting_hot_keys_keeps_every_link(spark):
+    rng = random.Random(10)
+    common = words(rng, 20)
+    rows = [(f"x{i:03d}", " ".join(edits(rng, common, 2)), "train" if i % 2 else "test") for i in range(200)]
+    rec = overlap.records(spark.createDataFrame(rows, "id string, clause_text string, split string"), "id", "clause_text", "split")
+    counts = overlap.hot_keys(rec)
+    assert counts.sum() == 200 * 19 and overlap.split_into(counts).max() == 1
+    hot = np.where(counts > 0, 65_535, 0).astype(np.uint16)  # as if all keys were hot
+    assert overlap.split_into(hot).max() == overlap.HOT_PARTS
+
+    def linked(c):
+        return {tuple(r) for r in overlap.links(rec, c).collect()}
+
+    assert len(linked(counts)) == 10_000 and linked(hot) == linked(counts)
+
+
 # ---- problem 8 ----
 
 
