@@ -184,6 +184,20 @@ def test_defects_with_nothing_to_compare_with(spark, model):
     assert defects.with_defects(df.limit(0), model).isEmpty()
 
 
+DECLINED = "I'm sorry, but I can't help with this request."
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        (" ".join([DECLINED] * 12), ["refusal"]), (DECLINED + " The Carrier shall deliver the", ["truncated", "refusal"]), (DECLINED + " The Buyer may keep the vess", ["truncated", "refusal"]),
+        ("Issue: " + DECLINED + "\n\nRule: N/A\n\nConclusion: N/A", ["refusal"]), (" ".join([ANSWER] * 4) + " I cannot speak to facts outside the clause.", []),
+    ],
+)
+def test_refusals_of_any_length_and_cut_ones(model, answer, want):
+    assert defects.defects(answer, CLAUSE, False, model) == want
+
+
 def test_language():
     assert [lexicon.language(t) for t in ("the fee is due and shall be paid", "der Preis ist nicht mit der Ware", "le prix est dans la clause", "el precio no es para los", "料金は支払う", "合同第十条", "цена договора", "xyz", "")] == [
         "en", "de", "fr", "es", "ja", "zh", "ru", "und", "und",
