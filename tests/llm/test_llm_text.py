@@ -198,6 +198,13 @@ def test_refusals_of_any_length_and_cut_ones(model, answer, want):
     assert defects.defects(answer, CLAUSE, False, model) == want
 
 
+def test_a_null_source_has_its_limits(spark):
+    responses = spark.createDataFrame([("1", "q", None, "x" * 30), ("2", "q", None, "x" * 31), ("3", "q", "a", "x" * 30), ("4", "q", "b", "x" * 31), ("5", "q", None, None)], "response_id string, id string, source string, raw_response string")
+    requests = spark.createDataFrame([("q", CLAUSE)], "id string, clause_text string")
+    limits = spark.createDataFrame([("raw_response", None, "chars", 30), ("raw_response", "b", "bytes", 31)], "field string, source string, unit string, size int")
+    assert {r.response_id: r.at_limit for r in defects.answered(responses, requests, limits).collect()} == {"1": True, "2": False, "3": False, "4": True, "5": False}
+
+
 def test_language():
     assert [lexicon.language(t) for t in ("the fee is due and shall be paid", "der Preis ist nicht mit der Ware", "le prix est dans la clause", "el precio no es para los", "料金は支払う", "合同第十条", "цена договора", "xyz", "")] == [
         "en", "de", "fr", "es", "ja", "zh", "ru", "und", "und",
