@@ -195,5 +195,9 @@ def with_token_count(df: DataFrame, text: str = "text", out: str = "n_tokens", n
 
 
 def one_per_id(documents: DataFrame) -> DataFrame:
-    """A document delivered again is one record; of unequal texts under one id the greatest counts, null the least."""
-    return documents.groupBy("doc_id").agg(F.max("text").alias("text"))
+    """A document delivered again, with the same id and text, is one record.
+
+    Unequal texts under one id, a null id included, are records of their own: each keeps its row.
+    """
+    # as an aggregate, so that no filter on what is worked out from the text is asked below it a second time
+    return documents.groupBy("doc_id", F.sha2("text", 256).alias("__same")).agg(F.max("text").alias("text")).drop("__same")

@@ -113,8 +113,11 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     documents = _documents(spark, sf)
-    counted = encoding.with_token_count(documents).select("doc_id", "n_tokens")
-    return packing.fill_containers(counted, "doc_id", "n_tokens", 1024)
+    # the id alone need not be unique, nor there
+    record = F.struct("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").isNull().alias("no_text")).alias("record")
+    counted = encoding.with_token_count(documents).select(record, "n_tokens")
+    packed = packing.fill_containers(counted, "record", "n_tokens", 1024)
+    return packed.select("record.doc_id", "piece", "start", "size", "container")
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:

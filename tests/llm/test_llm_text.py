@@ -262,6 +262,16 @@ def test_ids_of_null_and_empty_and_of_a_column_named_ids(spark):
     assert {r.doc_id for r in encoding.one_per_id(df).collect()} == {1, 2, 3} and encoding.with_ids(df.limit(0)).isEmpty()
 
 
+def test_null_ids_and_unequal_texts_of_one_id_keep_their_rows(spark, tmp_path):
+    rows = [(None, "one"), (None, "two words"), (None, "one"), (5, "five"), (5, "six is more"), (6, None), (6, ""), (7, "five"), (7, "five")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [(r.doc_id, tuple(r.ids)) for r in queries.p7_ids(spark, str(tmp_path)).collect()]
+    e = encoding.encoder()
+    assert sorted(ids, key=str) == sorted(((i, tuple(e.encode(t))) for i, t in set(rows)), key=str)
+    packed = [(r.doc_id, r["size"]) for r in queries.p8_containers(spark, str(tmp_path)).collect()]
+    assert sorted(packed, key=str) == sorted(((i, len(e.encode(t))) for i, t in set(rows)), key=str)
+
+
 # ---- problem 9 ----
 
 
