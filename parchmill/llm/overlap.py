@@ -1,83 +1,97 @@
 """Problem 6: records of one split that also stand, equal or almost equal, in another.
 
-A sparse suffix array over all texts, word by word, that loses no pair. Of two texts within the limit, ``d`` words apart,
-the suffixes at the rarest word pairs are taken from each until ``d + 1`` of their word pairs do not overlap: ``d`` edits
-cannot touch them all, so the rarest word pair that is left whole is among those taken on both sides, at places at most
-``d`` apart. Suffixes are partitioned by their first two words and sorted by place; those of two splits are compared
-by what stands before and behind them, and what is left is measured over the whole texts, word by word. Counts of word
-pairs only order the suffixes and spread the work. Equal texts are one class throughout and are told apart only in the result.
+A sparse suffix array over all texts, word by word, partitioned by the first two words of a suffix and sorted by the words
+behind them. Suffixes of two splits with a common prefix are two ends of a shared passage; the passages of a pair are
+extended over the whole texts and merged into the share of each record that stands in the other split; an exact count of
+differing words decides.
+
+The starts are chosen so that no pair is lost. Of two texts within the limit, ``d`` words apart, the suffixes at the rarest
+word pairs are taken from each until ``d + 1`` of their word pairs do not overlap: ``d`` edits cannot touch them all, so the
+rarest word pair that is left whole is among those taken on both sides, at places at most ``d`` apart. Counts of word pairs,
+taken over all rows, only order the suffixes, drop those whose pair the other side lacks, and spread the work. Equal texts
+are one class throughout and are told apart only in the result.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parchmill.session import release, written
+from parchmill.session import written
 
-#: Words of the key that partitions the suffixes, and positions of which one may start a suffix.
-BLOCK, WINDOW = 2, 1
+#: Words of the key that partitions the suffixes.
+BLOCK = 2
 #: Texts with fewer words are not compared.
 MIN_WORDS = 8
 #: At most this share of the words of the longer text may differ.
 MAX_DIFFERENCE = 0.2
-#: Buckets in which keys are counted, and the rows of each chunk that the counts travel in.
+#: Buckets in which keys are counted, and the buckets of each chunk that the counts travel in.
 BUCKETS, CHUNK = 1 << 20, 1 << 14
-#: A key whose two splits make more comparisons is split among tasks, into at most so many parts.
-HOT_WORK, HOT_PARTS = 10_000_000, 64
+#: Suffixes of one key and side that meet in one task; a key with more is a grid of such cells.
+CELL = 8_192
 #: Classes a task remembers, so that it emits the suffixes of equal texts once.
 SEEN = 500_000
 #: Words, padded, and comparisons that are worked on at a time.
-CELLS, COMPARED = 1_000_000, 2_000_000
+PADDED, COMPARED = 1_000_000, 2_000_000
+#: Places and sizes are told apart up to here; beyond, every pair of the key is a candidate.
+FAR = 0xFFFF
+#: Bits of the map that tells which classes are in a candidate pair.
+CLASS_BITS = 1 << 24
 
-#: ``at`` holds the place in its upper half, the text's number of words in the lower; ``who`` is the class with its lowest
-#: bit set for side 2; the marks have a bit for each word before the key, or behind it, by its
-#: hash.
-_MARKS = ("before1", "behind1", "before2", "behind2")
-_EDGE = "key int, at bigint, who bigint, " + ", ".join(f"{m} bigint" for m in _MARKS)
+#: ``first`` has the key above the numbers of the next four words; ``at`` the place, the text's size and 32 marks, 16, 16
+#: and 32 bits; the others 64 marks each, a bit for each word of the text by its number; ``who`` is the class with its
+#: lowest bit set for side 2.
+_MARKS = (("m1", 64), ("m2", 64), ("m3", 64), ("at", 32))
+_SUFFIX = "first bigint, at bigint, m1 bigint, m2 bigint, m3 bigint, who bigint"
 
+_BROKEN = re.compile(r"[-‐‑­]\s*[\r\n]+\s*")
+_JOINS = frozenset("-‐‑'’­​﻿")
 
-def plain(text: Column) -> Column:
-    """Lower case, words only: hyphens and soft hyphens join, with a line break after them too; the rest are blanks."""
-    low = F.lower(text)
-    joined = F.when(low.contains("\n") | low.contains("\r"), F.regexp_replace(low, r"[-‐‑\x{AD}]\s*[\r\n]+\s*", "")).otherwise(low)
-    return F.trim(F.regexp_replace(F.translate(joined, "-‐‑'’\u00ad\u200b\ufeff", ""), r"[^\p{L}\p{N}\p{M}]+", " "))
 
+class _Plain(dict):
+    """What becomes of a character: letters, digits and marks stay, hyphens and apostrophes go, the rest are blanks."""
 
-def records(df: DataFrame, key: str, text: str, split: str, left: str = "train") -> DataFrame:
-    """(key, side, class, words, n): side 1 for ``left``, 2 for any other split. Null splits and short texts are left out."""
-    # the words are asked for several times: as a value that differs from row to row they are worked out once
-    once = F.when(F.monotonically_increasing_id() >= 0, plain(F.col(text)))
-    step = df.where(F.col(split).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("key"), F.when(F.col(split) == left, 1).otherwise(2).cast("tinyint").alias("side"), once.alias("words")
-    )
-    n = F.length("words") - F.length(F.translate("words", " ", "")) + 1
-    # the lowest bit is kept free for the side
-    same = F.xxhash64("words", F.length("words")).bitwiseAND(-2)
-    return step.withColumn("n", n).where((F.col("words") != "") & (F.col("n") >= MIN_WORDS)).withColumn("class", same)
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        out = self[code] = None if c in _JOINS else c if unicodedata.category(c)[0] in "LNM" else " "
+        return out
 
 
-_words: dict[str, int] = {}
+_PLAIN = _Plain()
 
 
-def word_numbers(tokens: list[str]) -> np.ndarray:
-    """A fixed 64-bit number for each word, the same on every machine."""
-    import xxhash
+def words_of(text: str) -> list[str]:
+    """Words in lower case; hyphens and soft hyphens join, with a line break after them too."""
+    low = text.lower()
+    if "\n" in low or "\r" in low:
+        low = _BROKEN.sub("", low)
+    return low.translate(_PLAIN).split()
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_NUMBERS = _Numbers()
 
-    if len(_words) > 1_000_000:
-        _words.clear()
-    get = _words.get
-    out = np.empty(len(tokens), np.uint64)
-    for i, t in enumerate(tokens):
-        v = get(t)
-        if v is None:
-            v = _words[t] = xxhash.xxh64_intdigest(t)
-        out[i] = v
-    return out
+
+def word_numbers(texts: list[list[str]]) -> np.ndarray:
+    """A fixed 64-bit number for each word of all texts, the same on every machine."""
+    return np.fromiter(map(_NUMBERS.__getitem__, chain.from_iterable(texts)), np.uint64)
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -89,12 +103,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _rolling(w: np.ndarray, n: int) -> np.ndarray:
-    """Hash of ``w[i:i + n]`` for each i at which it is whole."""
-    h = np.zeros(len(w) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * _MULT + w[k : k + len(h)]
-    return _mixed(h)
+def pair_keys(numbers: np.ndarray) -> np.ndarray:
+    """A number for each word and the one behind it."""
+    return _mixed(numbers[:-1] * _MULT + numbers[1:])
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(44)).astype(np.int64)
 
 
 def reach(n: np.ndarray) -> np.ndarray:
@@ -102,249 +117,373 @@ def reach(n: np.ndarray) -> np.ndarray:
     return (n * (MAX_DIFFERENCE / (1 - MAX_DIFFERENCE)) + 1e-9).astype(np.int64)
 
 
-def suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, position) of every suffix of ``BLOCK`` words or more."""
-    split = [t.split(" ") for t in texts]
-    sizes = np.array([len(s) for s in split])
-    keys = _rolling(word_numbers([t for s in split for t in s]), BLOCK)
-    owner = np.repeat(np.arange(len(split)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = (place <= sizes[owner] - BLOCK)[: len(keys)]
-    return owner[: len(keys)][whole], keys[whole].view(np.int64), place[: len(keys)][whole]
+def class_of(words: list[str]) -> tuple[int, int]:
+    """Two numbers that equal texts share; the lowest bit of the first is kept free for the side."""
+    import xxhash
 
+    text = " ".join(words)
+    a, b = xxhash.xxh64_intdigest(text) & ~1, xxhash.xxh64_intdigest(text, 1)
+    return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
-def bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+def _rows(df: DataFrame, text: str, split: str, left: str, *more: str) -> DataFrame:
+    """(key…, text, side) of the rows that can match: side 1 for ``left``, 2 for any other split."""
+    side = F.when(F.col(split) == left, 1).otherwise(2).alias("side")
+    return df.where(F.col(split).isNotNull() & F.col(text).isNotNull()).select(*more, F.col(text).alias("text"), side)
+
+
+def scanned(df: DataFrame, key: str, text: str = "clause_text", split: str = "split", left: str = "train") -> tuple[DataFrame, np.ndarray]:
+    """The members (key, side, class, same) and how often the keys of each bucket stand in side 1 and side 2, over all rows.
+
+    One pass gives both. The counts have a fixed size; chunks of them are summed in the cluster as they come.
+    """
+    rows = _rows(df, text, split, left, F.col(key).alias("key"))
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *T.StructType.fromDDL("side int, class bigint, same bigint, chunk int, n binary")])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * BUCKETS, np.int64)
+        for b in batches:
+            words = [words_of(t) for t in b["text"]]
+            sizes = np.array([len(w) for w in words], np.int64)
+            long = sizes >= MIN_WORDS
+            words, sizes, b = [w for w, k in zip(words, long) if k], sizes[long], b[long]
+            if not words:
+                continue
+            side = b["side"].to_numpy().astype(np.int64)
+            at = np.repeat((side - 1) * BUCKETS, sizes)[:-1] + bucket(pair_keys(word_numbers(words)))
+            inner = np.ones(len(at), bool)
+            inner[np.cumsum(sizes)[:-1] - 1] = False  # a pair of two texts
+            total += np.bincount(at[inner], minlength=2 * BUCKETS)
+            same = np.array([class_of(w) for w in words], np.int64)
+            yield pd.DataFrame({"key": b["key"], "side": side, "class": same[:, 0], "same": same[:, 1], "chunk": None, "n": None})
+        flat = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, CHUNK)
+        some = [k for k in range(len(flat)) if flat[k].any()]
+        yield pd.DataFrame({"key": None, "side": None, "class": None, "same": None, "chunk": some, "n": [flat[k].tobytes() for k in some]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b["chunk"], b["n"]):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
+        out = [np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for x in total.values()]
+        yield pd.DataFrame({"chunk": pd.Series([*total], dtype="int32"), "n": out})
+
+    table = written(rows.mapInPandas(scan, schema), "members")
+    counts = np.zeros((2 * BUCKETS // CHUNK, CHUNK), np.uint32)
+    parts = table.where("chunk is not null").select("chunk", "n").repartition("chunk").mapInPandas(add, "chunk int, n binary")
+    for r in parts.collect():  # at most 2 * BUCKETS / CHUNK rows
+        counts[r["chunk"]] = np.frombuffer(r["n"], np.uint32)
+    return table.where("chunk is null").select("key", "side", "class", "same"), counts.reshape(2, BUCKETS)
+
+
+def _apart(taken: np.ndarray) -> np.ndarray:
+    """How many of the taken places (rows; texts are columns) do not overlap: in a run every second one."""
+    places, texts = taken.shape
+    if places > 64 * texts:
+        out = np.empty(texts, np.int64)
+        for k in range(texts):
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], taken[:, k].view(np.int8), [0]))))
+            out[k] = ((edge[1::2] - edge[::2] + 1) // BLOCK).sum()
+        return out
+    out, used = np.zeros(texts, np.int32), np.zeros(texts, bool)
+    for row in taken:
+        used = row & ~used
+        out += used
+    return out
 
 
-def _chosen(rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of each row's suffixes those of least rank, until one more than ``reach`` of them do not overlap."""
-    place = np.empty(rank.shape, np.int64)
-    np.put_along_axis(place, np.argsort(rank, axis=1, kind="stable"), np.arange(rank.shape[1])[None, :], axis=1)
-    need = reach(sizes) + 1
-    low, high = need.copy(), sizes - BLOCK + 1
-    column = np.arange(rank.shape[1])[None, :]
+def thresholds(rank: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The least rank up to which each column has ``need`` places that do not overlap."""
+    low, high = np.zeros(rank.shape[1], np.int64), np.full(rank.shape[1], np.iinfo(np.int32).max - 1, np.int64)
     while (low < high).any():
         middle = (low + high) // 2
-        taken = place < middle[:, None]
-        # in a run of neighbours every second one is free of the others
-        start = np.maximum.accumulate(np.where(taken, -1, column), axis=1)
-        apart = (taken & ((column - start) % BLOCK == 1)).sum(axis=1)
-        high, low = np.where(apart >= need, middle, high), np.where(apart >= need, low, np.minimum(middle + 1, high))
-    return place < high[:, None]
-
-
-def starts(texts: list[str], side: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, key, place, marks) of the suffixes that decide, but those whose key no other side has."""
-    split = [t.split(" ") for t in texts]
-    sizes = np.array([len(s) for s in split])
-    flat = word_numbers([t for s in split for t in s])
+        enough = _apart(rank <= middle.astype(np.int32)) >= need
+        high, low = np.where(enough, middle, high), np.where(enough, low, np.minimum(middle + 1, high))
+    return high
+
+
+def starts(texts: list[list[str]], side: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, key, next words, place, marks…) of the suffixes that decide, but those whose key no other side has.
+
+    All of equal rank are taken or none, so that both sides take the same.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    bit, half = np.uint64(1) << (flat >> np.uint64(58)), (flat >> np.uint64(57)) & np.uint64(1)
-    bits = [np.where(half == h, bit, np.uint64(0)) for h in range(2)]
-    flat = np.append(flat, np.zeros(1, np.uint64))
-    keys = _rolling(flat, BLOCK)
+    flat = word_numbers(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(flat)) - begin[owner]
+    keys = np.append(pair_keys(flat), np.uint64(0))
     found = bucket(keys)
-    # ties by hash: equal keys have equal ranks
-    rank = (counts.sum(axis=0, dtype=np.int64)[found] << 40) | (keys >> np.uint64(24)).astype(np.int64)
-    out, order, k = [], np.argsort(sizes, kind="stable"), 0
+    usual = np.minimum(counts.sum(axis=0, dtype=np.int64), (1 << 20) - 1)
+    rank = ((usual[found] << 11) | (keys & np.uint64(0x7FF)).astype(np.int64)).astype(np.int32)
+    rank[place > sizes[owner] - BLOCK] = np.iinfo(np.int32).max
+    limit = np.empty(len(texts), np.int64)
+    order, k = np.argsort(sizes, kind="stable"), 0
     while k < len(order):
-        n = int(np.searchsorted(sizes[order[k:]] * np.arange(1, len(order) - k + 1), CELLS, "right")) or 1
+        n = int(np.searchsorted(sizes[order[k:]] * np.arange(1, len(order) - k + 1), PADDED, "right")) or 1
         rows = order[k : k + n]
         k += n
-        column = np.arange(int(sizes[rows].max()))[None, :]
-        inside = column < sizes[rows][:, None]
-        at = np.where(inside, begin[rows][:, None] + column, 0)
-        whole = column <= (sizes[rows] - BLOCK)[:, None]
-        take = whole & _chosen(np.where(whole, rank[at], np.iinfo(np.int64).max), sizes[rows])
-        i, j = np.nonzero(take)
-        o = at[i, j]
-        other = counts[2 - side[rows][i], found[o]] > 0
-        i, j, o = i[other], j[other], o[other]
-        marks = []
-        for b in bits:
-            bit = np.where(inside, b[at], np.uint64(0))
-            before, behind = np.zeros_like(bit), np.zeros_like(bit)
-            before[:, 1:] = np.bitwise_or.accumulate(bit, axis=1)[:, :-1]
-            behind[:, :-BLOCK] = np.bitwise_or.accumulate(bit[:, ::-1], axis=1)[:, ::-1][:, BLOCK:]
-            marks += [before[i, j], behind[i, j]]
-        out.append((rows[i], keys[o], j, *marks))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        column = np.arange(int(sizes[rows].max()))[:, None]
+        inside = column < sizes[rows][None, :]
+        limit[rows] = thresholds(np.where(inside, rank[np.where(inside, begin[rows][None, :] + column, 0)], np.iinfo(np.int32).max), reach(sizes[rows]) + 1)
+    o = np.flatnonzero((rank <= limit[owner]) & (counts[2 - side[owner], found] > 0))
+    i = owner[o]
+    letter = np.append(np.maximum(flat >> np.uint64(56), np.uint64(1)), np.zeros(6, np.uint64)).astype(np.int64)
+    behind = np.zeros(len(o), np.int64)
+    for b in range(BLOCK, BLOCK + 4):
+        behind = behind << 8 | np.where(place[o] + b < sizes[i], letter[o + b], 0)
+    mark = ((flat >> np.uint64(32) & np.uint64(0xFFFF)) * np.uint64(sum(n for _, n in _MARKS))) >> np.uint64(16)
+    marks, low = [], 0
+    for _, n in _MARKS:
+        bit = np.where((mark >= low) & (mark < low + n), np.uint64(1) << (mark - np.uint64(low)) % np.uint64(64), np.uint64(0))
+        marks.append(np.bitwise_or.reduceat(bit, begin)[i].view(np.int64))
+        low += n
+    return i, keys[o], behind, place[o], *marks
+
+
+def grid(counts: np.ndarray) -> np.ndarray:
+    """Of each bucket's keys, into how many groups side 1 and side 2 are divided."""
+    return np.maximum(1, -(-counts.astype(np.int64) // CELL))
 
 
 def _emit(counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
+        cells = grid(counts)
         for b in batches:
-            fresh = [k not in seen for k in zip(b["class"], b["side"])]
-            b = b[fresh].drop_duplicates(["class", "side"])
+            texts, names, side = [], [], []
+            for t, s in zip(b["text"], b["side"].tolist()):
+                w = words_of(t)
+                if len(w) >= MIN_WORDS:
+                    c = class_of(w)[0]
+                    if (c, s) not in seen:
+                        seen.add((c, s))
+                        texts.append(w)
+                        names.append(c)
+                        side.append(s)
             if len(seen) > SEEN:
                 seen.clear()
-            seen.update(zip(b["class"], b["side"]))
-            if not len(b):
+            if not texts:
                 continue
-            side = b["side"].to_numpy().astype(np.int64)
-            owner, key, place, *marks = starts(b["words"].tolist(), side, counts)
-            n = b["n"].to_numpy().astype(np.int64)[owner]
-            who = (b["class"].to_numpy() | (side == 2))[owner]
-            # of a hot key, side 2 goes to every part and each class of side 1 to one: all meet, once
-            parts = split_into(counts)[bucket(key)]
-            two = side[owner] == 2
-            again = np.repeat(np.arange(len(key)), np.where(two, parts, 1))
-            part = np.arange(len(again)) - np.searchsorted(again, again)
-            part = np.where(two[again], part, (who[again] >> 1) % parts[again]).astype(np.uint64)
-            short = (_mixed(key[again] + part * _MULT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            columns = {"key": short, "at": (place[again] << 32) | n[again], "who": who[again]}
-            yield pd.DataFrame({**columns, **{name: m[again].view(np.int64) for name, m in zip(_MARKS, marks)}})
+            two = np.array(side, np.int64) == 2
+            owner, key, behind, place, *marks, more = starts(texts, two + 1, counts)
+            who = (np.array(names, np.int64) | two)[owner]
+            # a key with many suffixes is a grid of cells: each suffix goes to a line of it, so all meet, once
+            found, mine = bucket(key), two[owner].astype(np.int64)
+            own, across = cells[mine, found], cells[1 - mine, found]
+            again = np.repeat(np.arange(len(key)), across)
+            column = np.arange(len(again)) - np.searchsorted(again, again)
+            line = (who[again] >> 1) % own[again]
+            cell = np.where(mine[again] == 0, line * across[again] + column, column * own[again] + line).astype(np.uint64)
+            short = (_mixed(key[again] + cell * _MULT) >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)
+            size = np.minimum(np.array([len(t) for t in texts]), FAR)[owner]
+            at = np.minimum(place, FAR) << 48 | size << 32 | more
+            columns = {name: m[again] for (name, _), m in zip(_MARKS, marks)}
+            yield pd.DataFrame({"first": short << 32 | behind[again], "at": at[again], **columns, "who": who[again]})
 
     return run
 
 
-def split_into(counts: np.ndarray) -> np.ndarray:
-    """Parts of each bucket's keys."""
-    return np.clip(-(-counts[0].astype(np.int64) * counts[1] // HOT_WORK), 1, HOT_PARTS)
-
-
-def hot_keys(rec: DataFrame) -> np.ndarray:
-    """How often the keys of each bucket stand in side 1 and in side 2, over all rows; up to 65,535. Always of one size."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, BUCKETS), np.int64)
-        for b in batches:
-            owner, key, _ = suffixes(b["words"].tolist())
-            cell = (b["side"].to_numpy().astype(np.int64)[owner] - 1) * BUCKETS + bucket(key)
-            total += np.bincount(cell, minlength=2 * BUCKETS).reshape(2, BUCKETS)
-        flat = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, CHUNK)
-        some = [k for k in range(len(flat)) if flat[k].any()]
-        yield pd.DataFrame({"chunk": pd.Series(some, dtype="int32"), "n": [flat[k].tobytes() for k in some]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["n"])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "n": [np.minimum(total, 65_535).astype(np.uint16).tobytes()]})
-
-    schema = "chunk int, n binary"
-    out = np.zeros((2 * BUCKETS // CHUNK, CHUNK), np.uint16)
-    for r in rec.select("words", "side").mapInPandas(count, schema).groupBy("chunk").applyInPandas(add, schema).collect():
-        out[r["chunk"]] = np.frombuffer(r["n"], np.uint16)
-    return out.reshape(2, BUCKETS)
-
-
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(who of side 1, who of side 2) of the suffixes of one key that may belong to texts within the limit.
+    """(who of side 1, who of side 2, their places, the starts such texts must have in common) of the suffixes of one key
+    that may belong to texts within the limit.
 
-    ``x`` and ``y`` are rows of key and place, number of words, who and marks: each sorted by the first.
+    ``x`` and ``y`` are rows of ``_SUFFIX``.
     """
-    low = y[0] >> 31 << 31
-    most = reach(y[1])
-    first = np.searchsorted(x[0], np.maximum(y[0] - most, low))
-    size = np.searchsorted(x[0], np.minimum(y[0] + most, low + (1 << 31) - 1), "right") - first
-    out, k, upto = [np.empty((2, 0), np.int64)], 0, np.cumsum(size)
+
+    def parts(a: np.ndarray) -> tuple:
+        place, size = a[1] >> 48 & FAR, a[1] >> 32 & FAR
+        by = a[0] >> 32 << 17 | place
+        o = np.argsort(by, kind="stable")
+        return by[o], place[o], size[o], a[5][o], [m[o].view(np.uint64) for m in (a[1] & 0xFFFFFFFF, a[2], a[3], a[4])]
+
+    xb, xi, xn, xw, xm = parts(x)
+    yb, yi, yn, yw, ym = parts(y)
+    low, most = yb >> 17 << 17, np.where(yn == FAR, FAR, reach(yn))
+    first = np.searchsorted(xb, np.maximum(yb - most, low))
+    size = np.searchsorted(xb, np.minimum(yb + most, low + FAR), "right") - first
+    out, k, upto = [np.empty((5, 0), np.int64)], 0, np.cumsum(size)
     while k < len(size):
         end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + COMPARED, "right")))
         s = size[k:end]
         j = np.repeat(np.arange(k, end), s)
         i = np.arange(len(j)) + np.repeat(first[k:end] - (np.cumsum(s) - s), s)
         k = end
-        limit = (MAX_DIFFERENCE * np.maximum(x[1][i], y[1][j]) + 1e-9).astype(np.int64)
-        left = np.abs(x[0][i] - y[0][j])
-        right = np.abs(x[0][i] - x[1][i] - y[0][j] + y[1][j])
-        keep = left + right <= limit
-        i, j, left, right, limit = i[keep], j[keep], left[keep], right[keep], limit[keep]
-        # each word that only one of them has before the key, or behind it, is a difference of its own
-        for c, d in ((3, left), (4, right)):
-            p, q = x[c::2][:, i].view(np.uint64), y[c::2][:, j].view(np.uint64)
-            np.maximum(d, np.maximum(np.bitwise_count(p & ~q).sum(axis=0, dtype=np.int64), np.bitwise_count(q & ~p).sum(axis=0, dtype=np.int64)), out=d)
-        keep = left + right <= limit
-        out.append(np.unique(np.stack((x[2][i[keep]], y[2][j[keep]])), axis=1))
+        n, m = xn[i], yn[j]
+        limit = (MAX_DIFFERENCE * np.maximum(n, m) + 1e-9).astype(np.int64)
+        left = xi[i] - yi[j]
+        keep = np.abs(left) + np.abs(n - m - left) <= limit
+        far = (np.maximum(n, m) == FAR) & (np.minimum(n, m) >= int(FAR * (1 - MAX_DIFFERENCE)))
+        keep |= far
+        i, j, limit, far = i[keep], j[keep], limit[keep], far[keep]
+        # each word that only one of them has is a difference of its own
+        one = sum(np.bitwise_count(p[i] & ~q[j]).astype(np.int64) for p, q in zip(xm, ym))
+        two = sum(np.bitwise_count(q[j] & ~p[i]).astype(np.int64) for p, q in zip(xm, ym))
+        keep = (np.maximum(one, two) <= limit) | far
+        i, j, limit, far = i[keep], j[keep], limit[keep], far[keep]
+        # of the starts of the text that took fewer, each edit spoils one at most
+        need = np.where(far, 1, np.maximum(1, reach(np.minimum(xn[i], yn[j])) + 1 - limit))
+        out.append(np.stack((xw[i], yw[j], xi[i], yi[j], need)))
     return np.concatenate(out, axis=1)
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key and place; of the last key those are held that later rows can still reach."""
-    held = np.empty((3 + len(_MARKS), 0), np.int64)
+    """Rows come sorted; the suffixes of one key, a cell at most, are compared once they are all there."""
+    held: list[np.ndarray] = []
+
+    def compared(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        two = rows[5] & 1 == 1
+        found = _near(rows[:, ~two], rows[:, two])
+        found = found[:, found[0] != found[1] - 1]
+        if found.shape[1]:
+            yield pd.DataFrame({"a": found[0], "b": found[1] - 1, **dict(zip("ijk", found[2:].astype(np.int32)))})
+
     for b in batches:
         if not len(b):
             continue
-        at = b["at"].to_numpy()
-        new = np.stack((b["key"].to_numpy().astype(np.int64) << 31 | at >> 32, at & 0xFFFFFFFF, b["who"], *(b[m] for m in _MARKS)))
-        two, old = new[2] & 1 == 1, held[2] & 1 == 1
-        x, y = new[:, ~two], new[:, two]
-        pairs = np.concatenate((_near(np.concatenate((held[:, ~old], x), axis=1), y), _near(x, held[:, old])), axis=1)
-        pairs = pairs[:, pairs[0] != pairs[1] - 1]
-        if pairs.shape[1]:
-            yield pd.DataFrame({"a": pairs[0], "b": pairs[1] - 1}).drop_duplicates()
-        held = np.concatenate((held, new), axis=1)
-        last = held[0, -1]
-        held = held[:, (held[0] >> 31 == last >> 31) & (held[0] + reach(held[1]) >= last)]
-
-
-def links(rec: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(a, b): classes of side 1 and side 2 that may be within the limit; every pair that is within it is among them."""
-    suf = rec.select("words", "n", "class", "side").mapInPandas(_emit(counts), _EDGE)
-    return suf.repartition("key").sortWithinPartitions("key", "at").mapInPandas(_linked, "a bigint, b bigint").distinct()
+        new = b.to_numpy().T
+        key = new[0] >> 32
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield from compared(np.concatenate([*held, new[:, :cut]], axis=1))
+            held = []
+        elif held and held[-1][0, -1] >> 32 != key[0]:
+            yield from compared(np.concatenate(held, axis=1))
+            held = []
+        held.append(new[:, cut:])
+    if held:
+        yield from compared(np.concatenate(held, axis=1))
+
+
+def links(df: DataFrame, counts: np.ndarray, text: str = "clause_text", split: str = "split", left: str = "train") -> DataFrame:
+    """(a, b, spans): classes of side 1 and side 2 that may be within the limit, every pair that is among them, with the
+    places (i, j) at which suffixes with a common prefix start; these are as few as the starts of a text."""
+    suffixes = _rows(df, text, split, left).mapInPandas(_emit(counts), _SUFFIX)
+    array = suffixes.repartition((F.shiftright("first", 32)).alias("key")).sortWithinPartitions("first")
+    linked = array.mapInPandas(_linked, "a bigint, b bigint, i int, j int, k int")
+    pairs = linked.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("spans"), F.max("k").alias("k"))
+    enough = [F.size(F.array_distinct(F.col(f"spans.{c}"))) >= F.col("k") for c in "ij"]
+    return pairs.where(enough[0] & enough[1]).select("a", "b", "spans")
 
 
 def difference(a: list[str], b: list[str], most: int) -> int:
-    """Words to insert, delete or replace; ``most + 1`` if more than ``most``."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = 0
-    while k < len(a) and k < len(b) and a[k] == b[k]:
-        k += 1
-    a, b = a[k:], b[k:]
+    """Words to insert, delete or replace; ``most + 1`` if more than ``most``. Columns of the table are bit vectors."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        if low == 1:
-            new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        if min(new[low - 1 : high + 1]) > most:
-            return most + 1
-        row = new
-    return min(row[-1], most + 1)
-
-
-def verified(pairs: DataFrame, rec: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts differ in at most ``MAX_DIFFERENCE`` of the longer one's words.
-
-    ``pairs`` is a written table: where it is small its size is known and the texts are not shuffled.
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = every, 0, len(a)
+    for w in b:
+        equal = places.get(w, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = down | (every & ~(across | up)), up & across
+        score += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | (every & ~(equal | down | more)), more & (equal | down)
+    return min(score, most + 1)
+
+
+def coverage(a: list[str], b: list[str], at: list[tuple[int, int]]) -> tuple[float, float]:
+    """Share of the words of each text that lies in the shared passages around the places (i, j), merged."""
+    ones, twos = [], []
+    upto: dict[int, int] = {}  # on a diagonal, where the last passage ends
+    for i, j in sorted(at):
+        if upto.get(i - j, -1) > i or a[i : i + BLOCK] != b[j : j + BLOCK]:
+            continue
+        low, high = 0, BLOCK
+        while i - low > 0 and j - low > 0 and a[i - low - 1] == b[j - low - 1]:
+            low += 1
+        while i + high < len(a) and j + high < len(b) and a[i + high] == b[j + high]:
+            high += 1
+        upto[i - j] = i + high
+        ones.append((i - low, i + high))
+        twos.append((j - low, j + high))
+    out = []
+    for spans, n in ((ones, len(a)), (twos, len(b))):
+        total = end = 0
+        for s, e in sorted(spans):
+            total += max(0, e - max(s, end))
+            end = max(end, e)
+        out.append(total / n if n else 0.0)
+    return out[0], out[1]
+
+
+def verified(pairs: DataFrame, df: DataFrame, text: str = "clause_text", split: str = "split", left: str = "train") -> DataFrame:
+    """(a, b, cover_a, cover_b) of the pairs whose texts differ in at most ``MAX_DIFFERENCE`` of the longer one's words.
+
+    ``pairs`` is a written table. Only the texts of classes in a pair are sent, told by a bit map of fixed size.
     """
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class")).join(rec.select("class", "words"), "class")
+    place = F.shiftright(F.col("class"), 1).bitwiseAND(CLASS_BITS - 1) + 1  # the bit maps count from 1
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).select(place.alias("p"))
+    bits = asked.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    known = np.zeros(CLASS_BITS // 8, np.uint8)
+    for r in bits.collect():  # at most CLASS_BITS / 32,768 rows
+        known[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["m"], np.uint8)
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: dict[int, str] = {}
+            for t in b["text"]:
+                w = words_of(t)
+                if len(w) >= MIN_WORDS:
+                    c = class_of(w)[0]
+                    p = (c >> 1) & (CLASS_BITS - 1)
+                    if known[p >> 3] >> (p & 7) & 1:
+                        out[c] = " ".join(w)
+            yield pd.DataFrame({"class": pd.Series([*out], dtype="int64"), "words": pd.Series([*out.values()], dtype=object)})
+
+    words = _rows(df, text, split, left).select("text").mapInPandas(texts, "class bigint, words string")
+    ends = pairs.select("a", "b", "spans", F.explode(F.array("a", "b")).alias("class")).join(words.groupBy("class").agg(F.max("words").alias("words")), "class")
     both = ends.groupBy("a", "b").agg(
-        F.max(F.when(F.col("class") == F.col("a"), F.col("words"))).alias("x"), F.max(F.when(F.col("class") == F.col("b"), F.col("words"))).alias("y")
-    )
+        F.max(F.when(F.col("class") == F.col("a"), F.col("words"))).alias("x"), F.max(F.when(F.col("class") == F.col("b"), F.col("words"))).alias("y"),
+        F.any_value("spans").alias("spans"),
+    )
 
-    @F.pandas_udf("boolean")
-    def close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in batches:
+    @F.pandas_udf("close boolean, cover_a double, cover_b double")
+    def measure(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for xs, ys, spans in batches:
             out = []
-            for x, y in zip(xs, ys):
+            for x, y, s in zip(xs, ys, spans):
                 p, q = x.split(" "), y.split(" ")
                 most = int(MAX_DIFFERENCE * max(len(p), len(q)) + 1e-9)
                 u, v = set(p), set(q)
                 # a word that only one text has is a difference of its own
-                out.append(len(u - v) <= most and len(v - u) <= most and difference(p, q, most) <= most)
-            yield pd.Series(out, dtype=bool)
+                close = len(u - v) <= most and len(v - u) <= most and difference(p, q, most) <= most
+                out.append((close, *(coverage(p, q, [(k["i"], k["j"]) for k in s]) if close else (0.0, 0.0))))
+            yield pd.DataFrame(out, columns=["close", "cover_a", "cover_b"])
+
+    return both.withColumn("m", measure("x", "y", "spans")).where("m.close").select("a", "b", "m.cover_a", "m.cover_b")
+
 
-    return both.withColumn("close", close("x", "y")).where("close").select("a", "b")
+def _found(df: DataFrame, key: str, text: str, split: str, left: str) -> tuple[DataFrame, DataFrame]:
+    members, counts = scanned(df, key, text, split, left)
+    linked = written(links(df, counts, text, split, left), "links")
+    return members.distinct(), written(verified(linked, df, text, split, left), "pairs")
 
 
-def overlapping(df: DataFrame, key: str = "id", text: str = "clause_text", split: str = "split") -> DataFrame:
-    """(left, right): every pair of a ``train`` record and a record of another split that are equal or almost equal.
+def overlapping(df: DataFrame, key: str = "id", text: str = "clause_text", split: str = "split", left: str = "train") -> DataFrame:
+    """(left, right): every pair of a ``left`` record and a record of another split that are equal or almost equal.
 
     Null and blank texts, texts under ``MIN_WORDS`` words and rows without a split match nothing. A row delivered again is
-    one record. An empty table gives an empty result.
+    one record. Other columns are not read. An empty table gives an empty result.
+    """
+    member, found = _found(df, key, text, split, left)
+    one = member.where("side = 1").select("class", "same", F.col("key").alias("left"))
+    two = member.where("side = 2").select("class", "same", F.col("key").alias("right"))
+    near = one.join(found, one["class"] == found["a"]).select("left", "b").join(two.withColumnRenamed("class", "b"), "b").select("left", "right")
+    return near.union(one.join(two, ["class", "same"]).select("left", "right"))
+
+
+def covered(df: DataFrame, key: str = "id", text: str = "clause_text", split: str = "split", left: str = "train") -> DataFrame:
+    """(key, coverage) of each record outside ``left`` that stands there, equal or almost: the largest share of its words
+    that lies in passages shared with one record. By class: no pair of records is built. Rows as in :func:`overlapping`.
     """
-    rec = written(records(df, key, text, split), "records")
-    linked = written(links(rec, hot_keys(rec)), "links")
-    release(df.sparkSession)  # the suffixes' shuffle files are larger than all that follows
-    found = written(verified(linked, rec), "pairs")
-    member = rec.select("key", "side", "class").distinct()
-    left = member.where("side = 1").select("class", F.col("key").alias("left"))
-    right = member.where("side = 2").select("class", F.col("key").alias("right"))
-    near = left.join(found, left["class"] == found["a"]).select("left", "b").join(right.withColumnRenamed("class", "b"), "b").select("left", "right")
-    return near.union(left.join(right, "class").select("left", "right"))
+    member, found = _found(df, key, text, split, left)
+    near = found.select(F.col("b").alias("class"), F.col("cover_b").alias("coverage"))
+    equal = member.groupBy("class", "same").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
+    best = near.union(equal.where("n1 > 0 and n2 > 0").select("class", F.lit(1.0).alias("coverage"))).groupBy("class").agg(F.max("coverage").alias("coverage"))
+    return member.where("side = 2").select("key", "class").join(best, "class").groupBy("key").agg(F.max("coverage").alias("coverage"))

@@ -101,9 +101,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_by_split_and_source(spark: SparkSession, sf: str) -> DataFrame:
-    hit = _overlaps(spark, sf).select(F.col("right").alias("id")).distinct().withColumn("hit", F.lit(1))
-    rows = table(spark, sf, "analyze_requests").where("split <> 'train'").select("id", "split", "source").distinct()
-    return rows.join(hit, "id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_overlapping"))
+    requests = table(spark, sf, "analyze_requests")
+    hit = overlap.covered(requests.select("id", "clause_text", "split")).withColumnRenamed("key", "id")
+    rows = requests.where("split <> 'train'").select("id", "split", "source").distinct()
+    return rows.join(hit, "id", "left").groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count("coverage").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    )
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
