@@ -43,14 +43,17 @@ SEEN = 500_000
 PADDED, COMPARED = 1_000_000, 2_000_000
 #: Places and sizes are told apart up to here; beyond, every pair of the key is a candidate.
 FAR = 0xFFFF
-#: Bits of the map that tells which classes are in a candidate pair.
+#: Bits of the map that tells which texts are in a candidate pair.
 CLASS_BITS = 1 << 24
 
-#: ``first`` has the key above the numbers of the next four words; ``at`` the place, the text's size and 32 marks, 16, 16
-#: and 32 bits; the others 64 marks each, a bit for each word of the text by its number; ``who`` is the class with its
-#: lowest bit set for side 2.
-_MARKS = (("m1", 64), ("m2", 64), ("m3", 64), ("at", 32))
-_SUFFIX = "first bigint, at bigint, m1 bigint, m2 bigint, m3 bigint, who bigint"
+#: ``first`` has the key, 32 bits, above the numbers of the next two words, 8 bits each; ``at`` has 32 marks, the text's size
+#: and the place, 16 bits each; ``m1`` and ``m2`` have 64 marks each; ``who`` has 40 bits of the class, 23 marks and, lowest,
+#: whether it is of side 2. A mark is a bit for each word of the text, by its number. What a text's rows have in common stands
+#: together, because shuffles are compressed. Two classes may have the same 40 bits: the texts decide.
+_MARKS = (64, 64, 32, 23)
+_SUFFIX = "first bigint, at bigint, m1 bigint, m2 bigint, who bigint"
+#: Words behind the key that order its suffixes.
+NEXT = 2
 
 _BROKEN = re.compile(r"[-‐‑­]\s*[\r\n]+\s*")
 _JOINS = frozenset("-‐‑'’­​﻿")
@@ -228,13 +231,13 @@ def starts(texts: list[list[str]], side: np.ndarray, counts: np.ndarray) -> tupl
         limit[rows] = thresholds(np.where(inside, rank[np.where(inside, begin[rows][None, :] + column, 0)], np.iinfo(np.int32).max), reach(sizes[rows]) + 1)
     o = np.flatnonzero((rank <= limit[owner]) & (counts[2 - side[owner], found] > 0))
     i = owner[o]
-    letter = np.append(np.maximum(flat >> np.uint64(56), np.uint64(1)), np.zeros(6, np.uint64)).astype(np.int64)
+    letter = np.append(np.maximum(flat >> np.uint64(56), np.uint64(1)), np.zeros(BLOCK + NEXT, np.uint64)).astype(np.int64)
     behind = np.zeros(len(o), np.int64)
-    for b in range(BLOCK, BLOCK + 4):
+    for b in range(BLOCK, BLOCK + NEXT):
         behind = behind << 8 | np.where(place[o] + b < sizes[i], letter[o + b], 0)
-    mark = ((flat >> np.uint64(32) & np.uint64(0xFFFF)) * np.uint64(sum(n for _, n in _MARKS))) >> np.uint64(16)
+    mark = ((flat >> np.uint64(32) & np.uint64(0xFFFF)) * np.uint64(sum(_MARKS))) >> np.uint64(16)
     marks, low = [], 0
-    for _, n in _MARKS:
+    for n in _MARKS:
         bit = np.where((mark >= low) & (mark < low + n), np.uint64(1) << (mark - np.uint64(low)) % np.uint64(64), np.uint64(0))
         marks.append(np.bitwise_or.reduceat(bit, begin)[i].view(np.int64))
         low += n
@@ -266,20 +269,19 @@ def _emit(counts: np.ndarray):
             if not texts:
                 continue
             two = np.array(side, np.int64) == 2
-            owner, key, behind, place, *marks, more = starts(texts, two + 1, counts)
-            who = (np.array(names, np.int64) | two)[owner]
+            owner, key, behind, place, m1, m2, m3, m4 = starts(texts, two + 1, counts)
+            who = (np.array(names, np.int64) >> 24 << 24 | two)[owner] | m4 << 1
             # a key with many suffixes is a grid of cells: each suffix goes to a line of it, so all meet, once
             found, mine = bucket(key), two[owner].astype(np.int64)
             own, across = cells[mine, found], cells[1 - mine, found]
             again = np.repeat(np.arange(len(key)), across)
             column = np.arange(len(again)) - np.searchsorted(again, again)
-            line = (who[again] >> 1) % own[again]
+            line = (who[again] >> 24) % own[again]
             cell = np.where(mine[again] == 0, line * across[again] + column, column * own[again] + line).astype(np.uint64)
             short = (_mixed(key[again] + cell * _MULT) >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)
             size = np.minimum(np.array([len(t) for t in texts]), FAR)[owner]
-            at = np.minimum(place, FAR) << 48 | size << 32 | more
-            columns = {name: m[again] for (name, _), m in zip(_MARKS, marks)}
-            yield pd.DataFrame({"first": short << 32 | behind[again], "at": at[again], **columns, "who": who[again]})
+            at = m3 << 32 | size << 16 | np.minimum(place, FAR)
+            yield pd.DataFrame({"first": short << 32 | behind[again] << 16, "at": at[again], "m1": m1[again], "m2": m2[again], "who": who[again]})
 
     return run
 
@@ -292,10 +294,10 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """
 
     def parts(a: np.ndarray) -> tuple:
-        place, size = a[1] >> 48 & FAR, a[1] >> 32 & FAR
+        place, size = a[1] & FAR, a[1] >> 16 & FAR
         by = a[0] >> 32 << 17 | place
         o = np.argsort(by, kind="stable")
-        return by[o], place[o], size[o], a[5][o], [m[o].view(np.uint64) for m in (a[1] & 0xFFFFFFFF, a[2], a[3], a[4])]
+        return by[o], place[o], size[o], a[4][o], [m[o].view(np.uint64) for m in (a[1] >> 32 & 0xFFFFFFFF, a[2], a[3], a[4] >> 1 & 0x7FFFFF)]
 
     xb, xi, xn, xw, xm = parts(x)
     yb, yi, yn, yw, ym = parts(y)
@@ -332,11 +334,11 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[np.ndarray] = []
 
     def compared(rows: np.ndarray) -> Iterator[pd.DataFrame]:
-        two = rows[5] & 1 == 1
+        two = rows[4] & 1 == 1
         found = _near(rows[:, ~two], rows[:, two])
-        found = found[:, found[0] != found[1] - 1]
+        found = found[:, found[0] != found[1] - 1]  # equal texts are of one class
         if found.shape[1]:
-            yield pd.DataFrame({"a": found[0], "b": found[1] - 1, **dict(zip("ijk", found[2:].astype(np.int32)))})
+            yield pd.DataFrame({"a": found[0] >> 24, "b": found[1] >> 24, **dict(zip("ijk", found[2:].astype(np.int32)))})
 
     for b in batches:
         if not len(b):
@@ -356,8 +358,8 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(df: DataFrame, counts: np.ndarray, text: str = "clause_text", split: str = "split", left: str = "train") -> DataFrame:
-    """(a, b, spans): classes of side 1 and side 2 that may be within the limit, every pair that is among them, with the
-    places (i, j) at which suffixes with a common prefix start; these are as few as the starts of a text."""
+    """(a, b, spans): texts of side 1 and side 2, by 40 bits of their class, that may be within the limit, every pair that is
+    among them, with the places (i, j) at which suffixes with a common prefix start; these are as few as a text's starts."""
     suffixes = _rows(df, text, split, left).mapInPandas(_emit(counts), _SUFFIX)
     array = suffixes.repartition((F.shiftright("first", 32)).alias("key")).sortWithinPartitions("first")
     linked = array.mapInPandas(_linked, "a bigint, b bigint, i int, j int, k int")
@@ -413,12 +415,12 @@ def coverage(a: list[str], b: list[str], at: list[tuple[int, int]]) -> tuple[flo
 
 
 def verified(pairs: DataFrame, df: DataFrame, text: str = "clause_text", split: str = "split", left: str = "train") -> DataFrame:
-    """(a, b, cover_a, cover_b) of the pairs whose texts differ in at most ``MAX_DIFFERENCE`` of the longer one's words.
+    """(a, b, cover_a, cover_b): the classes of the pairs whose texts differ in at most ``MAX_DIFFERENCE`` of the longer one's
+    words, and the share of each that lies in shared passages.
 
-    ``pairs`` is a written table. Only the texts of classes in a pair are sent, told by a bit map of fixed size.
+    ``pairs`` is a written table. Only texts that are in a pair are sent, told by a bit map of fixed size.
     """
-    place = F.shiftright(F.col("class"), 1).bitwiseAND(CLASS_BITS - 1) + 1  # the bit maps count from 1
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).select(place.alias("p"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("p")).select((F.col("p").bitwiseAND(CLASS_BITS - 1) + 1).alias("p"))  # the bit maps count from 1
     bits = asked.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     known = np.zeros(CLASS_BITS // 8, np.uint8)
     for r in bits.collect():  # at most CLASS_BITS / 32,768 rows
@@ -431,17 +433,15 @@ def verified(pairs: DataFrame, df: DataFrame, text: str = "clause_text", split:
                 w = words_of(t)
                 if len(w) >= MIN_WORDS:
                     c = class_of(w)[0]
-                    p = (c >> 1) & (CLASS_BITS - 1)
+                    p = c >> 24 & (CLASS_BITS - 1)
                     if known[p >> 3] >> (p & 7) & 1:
                         out[c] = " ".join(w)
             yield pd.DataFrame({"class": pd.Series([*out], dtype="int64"), "words": pd.Series([*out.values()], dtype=object)})
 
     words = _rows(df, text, split, left).select("text").mapInPandas(texts, "class bigint, words string")
-    ends = pairs.select("a", "b", "spans", F.explode(F.array("a", "b")).alias("class")).join(words.groupBy("class").agg(F.max("words").alias("words")), "class")
-    both = ends.groupBy("a", "b").agg(
-        F.max(F.when(F.col("class") == F.col("a"), F.col("words"))).alias("x"), F.max(F.when(F.col("class") == F.col("b"), F.col("words"))).alias("y"),
-        F.any_value("spans").alias("spans"),
-    )
+    named = words.groupBy(F.shiftright("class", 24).alias("code"), "class").agg(F.max("words").alias("words"))
+    one = pairs.join(named.select(F.col("code").alias("a"), F.col("class").alias("class_a"), F.col("words").alias("x")), "a")
+    both = one.join(named.select(F.col("code").alias("b"), F.col("class").alias("class_b"), F.col("words").alias("y")), "b")
 
     @F.pandas_udf("close boolean, cover_a double, cover_b double")
     def measure(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -456,7 +456,8 @@ def verified(pairs: DataFrame, df: DataFrame, text: str = "clause_text", split:
                 out.append((close, *(coverage(p, q, [(k["i"], k["j"]) for k in s]) if close else (0.0, 0.0))))
             yield pd.DataFrame(out, columns=["close", "cover_a", "cover_b"])
 
-    return both.withColumn("m", measure("x", "y", "spans")).where("m.close").select("a", "b", "m.cover_a", "m.cover_b")
+    measured = both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), measure("x", "y", "spans").alias("m"))
+    return measured.where("a <> b and m.close").select("a", "b", "m.cover_a", "m.cover_b")
 
 
 def _found(df: DataFrame, key: str, text: str, split: str, left: str) -> tuple[DataFrame, DataFrame]:
