@@ -7,6 +7,7 @@ array is returned, unless stated otherwise.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,19 +107,24 @@ def category_of(question: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+")
+    return F.split(text, f"(?<=[.!?]){SPACE}+")
 
 
 def parse_irac(text: Column) -> Column:
     """Struct of the four section bodies; null unless all stand in order and none is empty.
 
-    One pass of the pattern: the bodies replace the text, split by a code point that no text may hold.
+    The bodies are those of :data:`IRAC_PATTERN`, whose groups are as short as can be: each begins behind the first
+    place of its label after the label before, and ends at the next label. Looking for the labels one after another
+    takes time in proportion to the text, where the pattern would try every way to place repeated labels.
     """
-    mark = "￿"
-    clean = F.translate(strip(text), mark, "")
-    parts = F.split(F.regexp_replace(clean, "(?s)^.*?" + IRAC_PATTERN[4:], mark.join(f"${i}" for i in range(1, 5))), mark)
-    full = (F.size(parts) == 4) & ~F.exists(parts, lambda p: p == "")
-    return F.when(full, F.struct(*[F.get(parts, F.lit(i)).alias(s) for i, s in enumerate(SECTIONS)]))
+    rest, bodies = text, []
+    for s in SECTIONS:
+        parts = F.split(rest, f"{s}:", 2)
+        bodies.append(strip(F.get(parts, F.lit(0))))
+        rest = F.get(parts, F.lit(1))  # null where the label is missing, and so is all that follows
+    bodies = [*bodies[1:], strip(rest)]
+    full = reduce(lambda x, y: x & y, [F.coalesce(b != "", F.lit(False)) for b in bodies])
+    return F.when(full, F.struct(*[b.alias(s) for b, s in zip(bodies, SECTIONS)]))
 
 
 def with_sections(df: DataFrame, text: str, out: str = "__s") -> DataFrame:
@@ -157,7 +163,7 @@ def filled(template: str, **columns: Column) -> Column:
 
 def company_key(title: Column) -> Column:
     """Upper-case letters and digits of the title's leading run of letters, commas, periods and blanks, else of it all."""
-    head = F.regexp_extract(title, r"^[A-Za-z][A-Za-z,.\s]*", 0)
+    head = F.regexp_extract(title, rf"^[A-Za-z][A-Za-z,.{SPACE[1:]}*", 0)
     return F.regexp_replace(F.upper(F.when(head != "", head).otherwise(title)), "[^A-Z0-9]", "")
 
 
