@@ -120,13 +120,12 @@ def reach(n: np.ndarray) -> np.ndarray:
     return (n * (MAX_DIFFERENCE / (1 - MAX_DIFFERENCE)) + 1e-9).astype(np.int64)
 
 
-def class_of(words: list[str]) -> tuple[int, int]:
-    """Two numbers that equal texts share; the lowest bit of the first is kept free for the side."""
+def class_of(text: str, seed: int = 0) -> int:
+    """A number that equal texts share."""
     import xxhash
 
-    text = " ".join(words)
-    a, b = xxhash.xxh64_intdigest(text) & ~1, xxhash.xxh64_intdigest(text, 1)
-    return a - (a >> 63 << 64), b - (b >> 63 << 64)
+    n = xxhash.xxh64_intdigest(text, seed)
+    return n - (n >> 63 << 64)
 
 
 def _rows(df: DataFrame, text: str, split: str, left: str, *more: str) -> DataFrame:
@@ -157,8 +156,9 @@ def scanned(df: DataFrame, key: str, text: str = "clause_text", split: str = "sp
             inner = np.ones(len(at), bool)
             inner[np.cumsum(sizes)[:-1] - 1] = False  # a pair of two texts
             total += np.bincount(at[inner], minlength=2 * BUCKETS)
-            same = np.array([class_of(w) for w in words], np.int64)
-            yield pd.DataFrame({"key": b["key"], "side": side, "class": same[:, 0], "same": same[:, 1], "chunk": None, "n": None})
+            plain = [" ".join(w) for w in words]
+            names = {"class": [class_of(t) for t in plain], "same": [class_of(t, 1) for t in plain]}
+            yield pd.DataFrame({"key": b["key"], "side": side, **names, "chunk": None, "n": None})
         flat = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, CHUNK)
         some = [k for k in range(len(flat)) if flat[k].any()]
         yield pd.DataFrame({"key": None, "side": None, "class": None, "same": None, "chunk": some, "n": [flat[k].tobytes() for k in some]})
@@ -258,7 +258,7 @@ def _emit(counts: np.ndarray):
             for t, s in zip(b["text"], b["side"].tolist()):
                 w = words_of(t)
                 if len(w) >= MIN_WORDS:
-                    c = class_of(w)[0]
+                    c = class_of(" ".join(w))
                     if (c, s) not in seen:
                         seen.add((c, s))
                         texts.append(w)
@@ -286,6 +286,10 @@ def _emit(counts: np.ndarray):
     return run
 
 
+#: The most words that two texts may be apart, by the size of the longer one.
+_LIMITS = (MAX_DIFFERENCE * np.arange(FAR + 1) + 1e-9).astype(np.int32)
+
+
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(who of side 1, who of side 2, their places, the starts such texts must have in common) of the suffixes of one key
     that may belong to texts within the limit.
@@ -297,7 +301,8 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         place, size = a[1] & FAR, a[1] >> 16 & FAR
         by = a[0] >> 32 << 17 | place
         o = np.argsort(by, kind="stable")
-        return by[o], place[o], size[o], a[4][o], [m[o].view(np.uint64) for m in (a[1] >> 32 & 0xFFFFFFFF, a[2], a[3], a[4] >> 1 & 0x7FFFFF)]
+        marks = [m[o].view(np.uint64) for m in (a[2], a[3], a[1] >> 32 & 0xFFFFFFFF, a[4] >> 1 & 0x7FFFFF)]
+        return by[o], place[o].astype(np.int32), size[o].astype(np.int32), a[4][o], marks
 
     xb, xi, xn, xw, xm = parts(x)
     yb, yi, yn, yw, ym = parts(y)
@@ -308,21 +313,23 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     while k < len(size):
         end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + COMPARED, "right")))
         s = size[k:end]
-        j = np.repeat(np.arange(k, end), s)
-        i = np.arange(len(j)) + np.repeat(first[k:end] - (np.cumsum(s) - s), s)
+        j = np.repeat(np.arange(k, end, dtype=np.int32), s)
+        i = np.arange(len(j), dtype=np.int32) + np.repeat((first[k:end] - (np.cumsum(s) - s)).astype(np.int32), s)
         k = end
         n, m = xn[i], yn[j]
-        limit = (MAX_DIFFERENCE * np.maximum(n, m) + 1e-9).astype(np.int64)
-        left = xi[i] - yi[j]
+        left, longer = xi[i] - yi[j], np.maximum(n, m)
+        limit = _LIMITS[longer]
         keep = np.abs(left) + np.abs(n - m - left) <= limit
-        far = (np.maximum(n, m) == FAR) & (np.minimum(n, m) >= int(FAR * (1 - MAX_DIFFERENCE)))
-        keep |= far
-        i, j, limit, far = i[keep], j[keep], limit[keep], far[keep]
-        # each word that only one of them has is a difference of its own
-        one = sum(np.bitwise_count(p[i] & ~q[j]).astype(np.int64) for p, q in zip(xm, ym))
-        two = sum(np.bitwise_count(q[j] & ~p[i]).astype(np.int64) for p, q in zip(xm, ym))
-        keep = (np.maximum(one, two) <= limit) | far
-        i, j, limit, far = i[keep], j[keep], limit[keep], far[keep]
+        far = (longer == FAR) & (np.minimum(n, m) >= int(FAR * (1 - MAX_DIFFERENCE)))
+        some = np.flatnonzero(keep | far)
+        i, j, limit, far = i[some], j[some], limit[some], far[some]
+        # each word that only one of them has is a difference of its own; the marks are fewer than 256
+        one = two = np.zeros(len(i), np.uint8)
+        for p, q in zip(xm, ym):
+            u, v = p[i], q[j]
+            one, two = one + np.bitwise_count(u & ~v), two + np.bitwise_count(v & ~u)
+            some = np.flatnonzero((np.maximum(one, two) <= limit) | far)
+            i, j, limit, far, one, two = i[some], j[some], limit[some], far[some], one[some], two[some]
         # of the starts of the text that took fewer, each edit spoils one at most
         need = np.where(far, 1, np.maximum(1, reach(np.minimum(xn[i], yn[j])) + 1 - limit))
         out.append(np.stack((xw[i], yw[j], xi[i], yi[j], need)))
@@ -432,10 +439,11 @@ def verified(pairs: DataFrame, df: DataFrame, text: str = "clause_text", split:
             for t in b["text"]:
                 w = words_of(t)
                 if len(w) >= MIN_WORDS:
-                    c = class_of(w)[0]
+                    plain = " ".join(w)
+                    c = class_of(plain)
                     p = c >> 24 & (CLASS_BITS - 1)
                     if known[p >> 3] >> (p & 7) & 1:
-                        out[c] = " ".join(w)
+                        out[c] = plain
             yield pd.DataFrame({"class": pd.Series([*out], dtype="int64"), "words": pd.Series([*out.values()], dtype=object)})
 
     words = _rows(df, text, split, left).select("text").mapInPandas(texts, "class bigint, words string")
