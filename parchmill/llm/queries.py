@@ -28,9 +28,8 @@ def p1_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    responses = table(spark, sf, "analyze_responses").select("response_id", "raw_response")
-    measured = repetition.with_statistics(responses, "raw_response")
-    return measured.where(repetition.is_repetitive(F.col("stats.repeated_share"))).select("response_id").distinct()
+    responses = table(spark, sf, "analyze_responses").select("response_id", "source", "raw_response")
+    return repetition.repetitive(responses, "raw_response", "response_id").where("repetitive").select("response_id").distinct()
 
 
 def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
