@@ -121,6 +121,11 @@ def preference_pairs(df: DataFrame, text: str = "target", key: str = "id") -> Da
     return step.withColumn("chosen", F.col(text)).withColumn("rejected", rejected).drop("__s", "__seed", "__h")
 
 
+def training_rows(pairs: DataFrame) -> DataFrame:
+    """What preference training reads of the pairs: exactly prompt, chosen and rejected."""
+    return pairs.select("prompt", "chosen", "rejected")
+
+
 def exact_pair(sections: dict[str, str], seed: int) -> tuple[str, str]:
     """(rejected, type) as a Mersenne Twister seeded with ``seed`` decides: first the type, then the detail."""
     rng = random.Random(seed)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.functions import text as tx
+from parchmill.session import written
+
+#: What counts as one in :func:`length_budget`.
+PIECE = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \n\r\t]"
 
 
 def clauses_from_source(source: DataFrame, excluded: tuple[str, ...] = tx.EXCLUDED_CATEGORIES) -> DataFrame:
@@ -26,6 +30,39 @@ def with_prompts(df: DataFrame) -> DataFrame:
     return df.withColumns({"prompt": tx.filled(tx.PROMPT, **fields), "teacher_prompt": tx.filled(tx.TEACHER_PROMPT, **fields)})
 
 
+def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of ``keys``, null included; rows delivered again are equal, so any of them will do.
+
+    Only the keys are shuffled: those that stand twice are written, so that their size is known and the planner joins
+    them as suits it. All other rows, and their texts, stay where they are.
+    """
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    again = written(twice, "again")
+    if again.isEmpty():
+        return df
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").dropDuplicates([*keys]))
+
+
+def length_budget(df: DataFrame, *texts: str, by: str = "split", budget: int = 1024) -> DataFrame:
+    """Sizes of the joined ``texts`` of a row against a budget, by ``by``: n, the largest, the 99th percentile, and how many are over.
+
+    Sizes are in words, numbers and other marks, each one; quantiles come from a mergeable sketch, exact to one in 100,000.
+    """
+    size = sum((F.size(tx.found(F.coalesce(F.col(t), F.lit("")), PIECE)) for t in texts), F.lit(0)).cast("bigint")
+    return df.withColumn("__n", size).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("__n").alias("max_size"), F.percentile_approx("__n", 0.99, 100_000).alias("p99_size"),
+        F.count_if(F.col("__n") > budget).alias("n_over"),
+    )
+
+
+def training_steps(rows: DataFrame, epochs: int, per_device: int, accumulated: int) -> DataFrame:
+    """Optimizer steps of a training over ``rows``: whole batches of an epoch, the last one perhaps not full, times epochs."""
+    batch = per_device * accumulated
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("n"), F.lit(batch).alias("effective_batch"), (F.ceil(n / F.lit(batch)) * epochs).cast("bigint").alias("steps"))
+
+
 def known_bad_ids(reviews: DataFrame) -> DataFrame:
     return reviews.where(F.col("verdict") == "bad").select("id").distinct()
 

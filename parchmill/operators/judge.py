@@ -58,10 +58,17 @@ def consolidated(rubric: DataFrame, judge: DataFrame) -> DataFrame:
     return r.join(j, "run_id")
 
 
+#: A reviewer's verdicts, and those that uphold the judge.
+VERDICTS = ("both_right", "both_wrong", "judge_wrong", "judge_right")
+UPHELD = ("both_right", "judge_right")
+
+
 def validation_findings(reviewed: DataFrame, *dims: str) -> DataFrame:
-    """Verdict counts and the upheld share by every subset of ``dims``."""
+    """Counts of each verdict and the share that upholds the judge, by every subset of ``dims``."""
+    upheld = F.col("human_verdict").isin(*UPHELD)
     return reviewed.cube(*dims).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("verdict") == "upheld").alias("n_upheld"),
-        F.round(F.avg((F.col("verdict") == "upheld").cast("int")), 10).alias("upheld_share"),
+        *[F.count_if(F.col("human_verdict") == v).alias(f"n_{v}") for v in VERDICTS],
+        F.count_if(upheld).alias("n_upheld"),
+        F.round(F.avg(upheld.cast("int")), 10).alias("upheld_share"),
     )

@@ -91,6 +91,20 @@ def assign_groups(names: DataFrame, ratios: Mapping[str, float] = RATIOS, seed:
     return ranked.select("name", split.alias("split"))
 
 
+#: More names than this are not brought to the driver.
+MAX_NAMES = 1_000_000
+
+
+def split_exact(names: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42) -> DataFrame:
+    """(name, split) by :func:`assign_groups_exact`, whose generator only a driver can run: too many names are an error."""
+    distinct = names.toDF("name").where("name is not null").distinct()
+    n = distinct.limit(MAX_NAMES + 1).count()
+    if n > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names: use assign_groups")
+    chosen = assign_groups_exact([r[0] for r in distinct.toLocalIterator()], ratios, seed)
+    return names.sparkSession.createDataFrame(sorted(chosen.items()), "name string, split string")
+
+
 def assign_groups_exact(names: list[str], ratios: Mapping[str, float] = RATIOS, seed: int = 42) -> dict[str, str]:
     """The same split by a seeded Mersenne Twister shuffle of the sorted distinct names, on the driver.
 
@@ -124,9 +138,16 @@ def split_records(
     return mapped.drop("split").join(where, "canonical", "left").drop("canonical")
 
 
-def leaks(df: DataFrame, group: str = "contract", split: str = "split") -> DataFrame:
-    """Groups that stand in more than one split: no row if the split is sound."""
-    return df.groupBy(group).agg(F.countDistinct(split).alias("n_splits")).where("n_splits > 1")
+def leakage(df: DataFrame, group: str = "contract", split: str = "split") -> DataFrame:
+    """Each group with its rows, the splits it stands in, and whether that is more than one: none leaks if the split is sound."""
+    n = F.countDistinct(split)
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), n.alias("n_splits"), (n > 1).alias("leaks"))
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str = "id", split: str = "split") -> DataFrame:
+    """How many keys two tables put in which splits: (split_a, split_b, n), null where one table lacks the key."""
+    x, y = a.select(key, F.col(split).alias("split_a")), b.select(key, F.col(split).alias("split_b"))
+    return x.join(y, key, "full").groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_counts(df: DataFrame, group: str = "contract", split: str = "split") -> DataFrame:

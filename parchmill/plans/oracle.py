@@ -6,6 +6,7 @@ import re
 
 from parchmill.functions import corrupt, rubric
 from parchmill.functions import text as tx
+from parchmill.operators import clean
 
 
 def lit(s: str) -> str:
@@ -19,7 +20,7 @@ def items(values) -> str:
 NL2 = "(chr(10) || chr(10))"
 
 # ---- bases ----
-C = "c AS (SELECT DISTINCT id, contract, category, clause_text FROM analyze_requests)"
+C = "c AS (SELECT DISTINCT id, contract, category, clause_text, split FROM analyze_requests)"
 R = "r AS (SELECT DISTINCT response_id, run_id, id, contract, category, raw_response FROM analyze_responses)"
 
 
@@ -61,7 +62,7 @@ def content(x: str) -> str:
 
 
 def sentences(x: str) -> str:
-    return f"string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"string_split(regexp_replace({x}, {lit('([.!?])' + tx.SPACE + '+')}, '\\1' || chr(1), 'g'), chr(1))"
 
 
 def said(x: str) -> str:
@@ -139,8 +140,9 @@ j AS (SELECT run_id, id, response_id, g1 <> '' AS judge_parse_ok,
     CASE WHEN g1 = '' THEN reply END AS judge_raw FROM j_b)"""
 JOINED = f"""
 {SCORED}, {JUDGED},
-v AS (SELECT run_id, id, judge_overall, rubric_aggregate, round_even(abs(rubric_aggregate - (judge_overall - 1) / 4.0::DOUBLE), 3) AS disagreement
-    FROM (SELECT sc.run_id, sc.id, j.overall AS judge_overall, sc.aggregate AS rubric_aggregate
+v AS (SELECT *, round_even(abs(rubric_aggregate - (judge_overall - 1) / 4.0::DOUBLE), 3) AS disagreement
+    FROM (SELECT sc.run_id, sc.id, j.groundedness AS judge_groundedness, j.reasoning_quality AS judge_reasoning_quality, j.overall AS judge_overall,
+              j.rationale AS judge_rationale, sc.aggregate AS rubric_aggregate
           FROM sc JOIN j ON sc.run_id = j.run_id AND sc.id = j.id WHERE j.judge_parse_ok))"""
 
 REVIEWS = f"w AS (SELECT id, CASE WHEN {seed('id')} % 50 = 0 THEN 'bad' WHEN {seed('id')} % 50 < 10 THEN 'minor' ELSE 'good' END AS verdict FROM c)"
@@ -186,7 +188,8 @@ _CASES = " ".join(f"WHEN {k} THEN {corruption(t, '(h // 6)')}" for k, t in enume
 PAIRS = f"""{TARGETS}, th AS (SELECT *, {seed('id')} AS h FROM tp),
 d AS (SELECT id, contract, category, target AS chosen, CASE h % 6 {_CASES} END AS rejected, {pick(corrupt.TYPES, 'h')} AS corruption_type FROM th)"""
 
-KEY = "regexp_replace(upper(CASE WHEN regexp_extract(contract, '^[A-Za-z][A-Za-z,.\\s]*') <> '' THEN regexp_extract(contract, '^[A-Za-z][A-Za-z,.\\s]*') ELSE contract END), '[^A-Z0-9]', '', 'g')"
+_HEAD = f"regexp_extract(contract, {lit('^[A-Za-z][A-Za-z,.' + tx.SPACE[1:] + '*')})"
+KEY = f"regexp_replace(upper(CASE WHEN {_HEAD} <> '' THEN {_HEAD} ELSE contract END), '[^A-Z0-9]', '', 'g')"
 SHARED = f"""{C},
 k AS (SELECT DISTINCT contract, clause_text, {KEY} AS k FROM c WHERE contract IS NOT NULL AND clause_text IS NOT NULL),
 e AS (SELECT x.contract AS a, y.contract AS b, count(*) AS shared FROM k x JOIN k y ON x.k = y.k AND x.clause_text = y.clause_text AND x.contract < y.contract GROUP BY 1, 2)"""
@@ -196,7 +199,7 @@ reach AS (SELECT a AS node, a AS seen FROM u UNION SELECT reach.node, u.b FROM r
 g AS (SELECT node AS contract, min(seen) AS canonical FROM reach GROUP BY 1)"""
 SPELLINGS = "c AS (SELECT DISTINCT id, coalesce(lang, 'und') || '_' || source AS contract, clause_text FROM analyze_requests)"
 SPLIT = f"""{COMPONENTS},
-m AS (SELECT c.*, coalesce(g.canonical, c.contract) AS canonical FROM c LEFT JOIN g ON c.contract = g.contract),
+m AS (SELECT c.* EXCLUDE (split), coalesce(g.canonical, c.contract) AS canonical FROM c LEFT JOIN g ON c.contract = g.contract),
 o AS (SELECT canonical, row_number() OVER (ORDER BY {order(42, 'canonical')}, canonical) - 1 AS rank, count(*) OVER () AS total
     FROM (SELECT DISTINCT canonical FROM m WHERE canonical IS NOT NULL)),
 f AS (SELECT canonical, CASE WHEN rank < round_even(total * 0.8::DOUBLE, 0) THEN 'train'
@@ -210,6 +213,35 @@ def template(text: str, columns: dict[str, str]) -> str:
 
 
 _FIELDS = {"category": "category", "clause_text": "clause_text"}
+_DPO = f"""{PAIRS}, {C}, ans AS (SELECT r.response_id, c.clause_text FROM r JOIN c ON r.id = c.id),
+dp AS (SELECT d.id, d.contract, d.category, ans.clause_text, {template(tx.PROMPT, {"category": "d.category", "clause_text": "ans.clause_text"})} AS prompt,
+    chosen, rejected, corruption_type FROM d JOIN ans ON d.id = ans.response_id)"""
+_VALIDATION = f"""{JOINED},
+v1 AS (SELECT *, 'low_judge_score' AS sample_reason FROM v ORDER BY judge_overall, run_id, id LIMIT 15),
+v2 AS (SELECT *, 'rubric_judge_disagreement' AS sample_reason FROM v WHERE (run_id, id) NOT IN (SELECT (run_id, id) FROM v1) ORDER BY disagreement DESC, run_id, id LIMIT 10),
+v3 AS (SELECT *, 'random' AS sample_reason FROM v WHERE (run_id, id) NOT IN (SELECT (run_id, id) FROM v1) AND (run_id, id) NOT IN (SELECT (run_id, id) FROM v2)
+       ORDER BY md5('42:' || run_id || '|' || id), run_id, id LIMIT 10),
+vs AS (FROM v1 UNION ALL FROM v2 UNION ALL FROM v3)"""
+_SHEET = f"""{SCORED}, {parsed("pa", "a", "raw_response")},
+z AS (SELECT response_id AS id, round_even(structure_ok, 3) AS so, round_even(groundedness, 3) AS gr, round_even(length_ok, 3) AS lo,
+    round_even(no_contradiction, 3) AS nc, round_even(aggregate, 3) AS ag FROM sc WHERE structure_ok = 1),
+low AS (SELECT *, 'low_rubric_score' AS sample_reason FROM z ORDER BY ag, id LIMIT 25),
+ran AS (SELECT *, 'random' AS sample_reason FROM z WHERE id NOT IN (SELECT id FROM low) ORDER BY md5('42:' || id), id LIMIT 35),
+zs AS (FROM low UNION ALL FROM ran)"""
+
+
+def text_of(*columns: str) -> str:
+    return ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c.split('.')[-1]}" for c in columns)
+
+
+def echoed(n: str, gap: str = "chr(10)") -> str:
+    """What the stand-in for a model answers to a prompt of ``n`` characters."""
+    return f"'Issue: ' || {n} || {gap} || 'Rule: r' || {gap} || 'Application: a' || {gap} || 'Conclusion: c'"
+
+
+_JUDGED_FIELDS = _FIELDS | {"response": "raw_response"}
+_STUB = f"""{C}, n1 AS (SELECT id, length({template(tx.TEACHER_PROMPT, _FIELDS)}) AS n FROM c),
+n2 AS (SELECT id, n % 3 = 0 AS retried, CASE WHEN n % 3 = 0 THEN n + {len(tx.RETRY_SUFFIX)} ELSE n END AS n FROM n1)"""
 _SAMPLE_BASE = """z AS (SELECT DISTINCT run_id || '|' || id AS key, round_even(aggregate, 3) AS rubric_aggregate,
     run_id, id, structure_ok, groundedness, length_ok, no_contradiction, aggregate FROM rubric_scores
     WHERE aggregate IS NOT NULL AND structure_ok IS NOT NULL AND groundedness IS NOT NULL AND length_ok IS NOT NULL AND no_contradiction IS NOT NULL),
@@ -257,42 +289,75 @@ def sql() -> dict[str, str]:
         "rubric_by_corruption": f"WITH {PAIRS}, {C}, dd AS (SELECT d.*, c.clause_text FROM d JOIN (SELECT DISTINCT response_id, id AS request FROM r) r2 ON d.id = r2.response_id "
         f"JOIN c ON r2.request = c.id), {scored('sc', 'dd', 'rejected', 'corruption_type')} "
         "SELECT corruption_type, count(*) AS n, round(avg(aggregate), 10) AS aggregate FROM sc GROUP BY 1",
-        "dpo_pairs": f"WITH {PAIRS} SELECT * FROM d",
+        "dpo_pairs": f"WITH {_DPO} SELECT * FROM dp",
+        "dpo_training_rows": f"WITH {_DPO} SELECT prompt, chosen, rejected FROM dp",
         "corruption_distribution": f"WITH {PAIRS} SELECT corruption_type, count(*) AS n FROM d GROUP BY 1",
         "sft_pairs": f"WITH {C}, {R}, {parsed('p', 'r', 'raw_response')} SELECT {template(tx.PROMPT, {'category': 'c.category', 'clause_text': 'c.clause_text'})} AS prompt, {formatted()} AS completion FROM p JOIN c ON p.id = c.id",
         "shared_clause_pairs": f"WITH {SHARED.replace(C, SPELLINGS)} SELECT * FROM e",
         "duplicate_documents": f"WITH RECURSIVE {COMPONENTS.replace(C, SPELLINGS).replace('SELECT a, b FROM e UNION SELECT b, a FROM e', 'SELECT a, b FROM e WHERE shared >= 3 UNION SELECT b, a FROM e WHERE shared >= 3')} SELECT * FROM g",
         "contract_split": f"WITH RECURSIVE {SPLIT} SELECT DISTINCT contract, split FROM s",
         "split_counts": f"WITH RECURSIVE {SPLIT} SELECT split, count(*) AS n_rows, count(DISTINCT contract) AS n_groups FROM s GROUP BY 1",
-        "split_leakage": f"WITH RECURSIVE {SPLIT} SELECT contract, count(DISTINCT split) AS n_splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1",
-        "split_agreement": f"WITH RECURSIVE {SPLIT}, {PAIRS}, sp AS (SELECT DISTINCT contract, split FROM s), "
-        "x AS (SELECT t.id, sp.split FROM t JOIN sp USING (contract)), y AS (SELECT d.id, sp.split FROM d JOIN sp USING (contract)) "
-        "(SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL (SELECT * FROM y EXCEPT ALL SELECT * FROM x)",
+        "split_leakage": f"WITH {C} SELECT contract, count(*) AS n_rows, count(DISTINCT split) AS n_splits, count(DISTINCT split) > 1 AS leaks FROM c GROUP BY 1",
+        "split_agreement": f"WITH RECURSIVE {SPLIT}, {PAIRS}, x AS (SELECT t.id, c.split FROM t JOIN r ON t.id = r.response_id JOIN c ON r.id = c.id WHERE t.target IS NOT NULL), "
+        "y AS (SELECT d.id, s.split FROM d JOIN r ON d.id = r.response_id JOIN s ON r.id = s.id) "
+        "SELECT x.split AS split_a, y.split AS split_b, count(*) AS n FROM x FULL JOIN y ON x.id = y.id GROUP BY 1, 2",
+        "first_rows": f"WITH {C} SELECT id, split FROM c ORDER BY id LIMIT 100",
+        "smoke_subset": f"WITH {C}, u AS (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY {order(42, 'id')}, id) AS k FROM c) "
+        "SELECT id, split FROM u WHERE (split = 'train' AND k <= 60) OR (split = 'valid' AND k <= 20)",
         "category_cap": f"WITH {C} SELECT id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {order(42, 'id')}, id) AS k FROM c WHERE category IS NOT NULL) WHERE k <= 20",
         "id_sample": f"WITH {C} SELECT DISTINCT id FROM c ORDER BY {order(42, 'id')}, id LIMIT 150".replace("SELECT DISTINCT id FROM c", "SELECT id FROM (SELECT DISTINCT id FROM c)"),
         "review_sample": f"WITH {_SAMPLE_BASE} SELECT * FROM rs",
-        "review_sheet": f"WITH {_SAMPLE_BASE} SELECT key, sample_reason, CAST(rubric_aggregate AS VARCHAR) AS rubric_aggregate, '' AS reviewer_verdict, '' AS reviewer_notes FROM rs",
+        "review_sheet": f"WITH {_SHEET} SELECT zs.id, sample_reason, {text_of('pa.category', 'pa.contract', 'pa.clause_text')}, {formatted(('pa.s1', 'pa.s2', 'pa.s3', 'pa.s4'))} AS target, "
+        "CAST(ag AS VARCHAR) AS rubric_aggregate, CAST(so AS VARCHAR) AS rubric_structure_ok, CAST(gr AS VARCHAR) AS rubric_groundedness, CAST(lo AS VARCHAR) AS rubric_length_ok, "
+        "CAST(nc AS VARCHAR) AS rubric_no_contradiction, '' AS reviewer_verdict, '' AS reviewer_notes FROM zs JOIN pa ON zs.id = pa.response_id",
         "judge_validation_join": f"WITH {JOINED} SELECT run_id, id, judge_overall, round(rubric_aggregate, 10) AS rubric_aggregate, disagreement FROM v",
-        "judge_validation_sample": f"""WITH {JOINED},
-v1 AS (SELECT *, 'low_judge_score' AS sample_reason FROM v ORDER BY judge_overall, run_id, id LIMIT 15),
-v2 AS (SELECT *, 'disagreement' AS sample_reason FROM v WHERE (run_id, id) NOT IN (SELECT (run_id, id) FROM v1) ORDER BY disagreement DESC, run_id, id LIMIT 10),
-v3 AS (SELECT *, 'random' AS sample_reason FROM v WHERE (run_id, id) NOT IN (SELECT (run_id, id) FROM v1) AND (run_id, id) NOT IN (SELECT (run_id, id) FROM v2)
-       ORDER BY md5('42:' || run_id || '|' || id), run_id, id LIMIT 10)
-SELECT run_id, id, sample_reason, judge_overall, disagreement FROM (FROM v1 UNION ALL FROM v2 UNION ALL FROM v3)""",
+        "judge_validation_sample": f"WITH {_VALIDATION} SELECT run_id, id, sample_reason, judge_overall, disagreement FROM vs",
+        "judge_review_sheet": f"WITH {_VALIDATION} SELECT vs.run_id, vs.id, sample_reason, {text_of('a.category', 'a.clause_text', 'a.raw_response')}, "
+        "CAST(round_even(rubric_aggregate, 3) AS VARCHAR) AS rubric_aggregate, "
+        f"{text_of('judge_groundedness', 'judge_reasoning_quality', 'judge_overall', 'judge_rationale', 'disagreement')}, '' AS human_verdict, '' AS human_notes "
+        "FROM vs JOIN a ON vs.run_id = a.run_id AND vs.id = a.id",
+        "sample_reasons": f"WITH {_VALIDATION} SELECT sample_reason, count(*) AS n FROM vs GROUP BY 1",
         "judge_summary": f"WITH {R}, {JUDGED} SELECT run_id, count(*) AS n, "
         + ", ".join(f"round(avg({c}), 10) AS {c}" for c in ("groundedness", "reasoning_quality", "overall"))
         + ", round(avg(CASE WHEN judge_parse_ok THEN 1 ELSE 0 END), 10) AS parse_ok_rate FROM j GROUP BY 1",
-        "validation_findings": f"WITH {JOINED}, vv AS (SELECT run_id, judge_overall, {seed('id')} % 100 < 54 AS up FROM v) SELECT run_id, judge_overall, count(*) AS n, "
-        "count(*) FILTER (up) AS n_upheld, round(avg(CASE WHEN up THEN 1 ELSE 0 END), 10) AS upheld_share FROM vv GROUP BY CUBE (run_id, judge_overall)",
+        "validation_findings": f"WITH {_VALIDATION}, vv AS (SELECT run_id, sample_reason, judge_overall, "
+        f"(['both_right', 'both_wrong', 'judge_wrong', 'judge_right'])[{seed('run_id || ' + lit('|') + ' || id')} % 4 + 1] AS h FROM vs) "
+        "SELECT run_id, sample_reason, judge_overall, count(*) AS n, count(*) FILTER (h = 'both_right') AS n_both_right, count(*) FILTER (h = 'both_wrong') AS n_both_wrong, "
+        "count(*) FILTER (h = 'judge_wrong') AS n_judge_wrong, count(*) FILTER (h = 'judge_right') AS n_judge_right, count(*) FILTER (h IN ('both_right', 'judge_right')) AS n_upheld, "
+        "round(avg(CASE WHEN h IN ('both_right', 'judge_right') THEN 1 ELSE 0 END), 10) AS upheld_share FROM vv GROUP BY CUBE (run_id, sample_reason, judge_overall)",
         "resume_pending": f"WITH {C}, {R} SELECT DISTINCT id FROM c WHERE id NOT IN (SELECT id FROM r)",
         "id_list_semijoin": f"WITH {C}, {R}, i AS (SELECT id FROM (SELECT DISTINCT id FROM c) ORDER BY {order(42, 'id')}, id LIMIT 150) SELECT response_id, id FROM r WHERE id IN (SELECT id FROM i)",
-        "analyze_batch": f"WITH {C}, b AS (SELECT *, CASE WHEN coalesce(clause_text, '') = '' THEN 'empty' WHEN NOT ({substantive('clause_text')}) THEN 'not substantive' END AS reason FROM c) "
-        f"SELECT id, reason, CASE WHEN reason IS NULL THEN {template(tx.PROMPT, _FIELDS)} END AS prompt FROM b",
+        "model_run_stub": f"WITH {_STUB} SELECT id, CASE WHEN n % 3 <> 0 THEN {echoed('n', NL2)} END AS target, n % 3 <> 0 AS parse_ok, retried FROM n2",
+        "model_run_report": f"WITH {_STUB} SELECT count(*) AS n, count(*) FILTER (n % 3 = 0) AS n_parse_failures, count(*) FILTER (retried AND n % 3 <> 0) AS n_recovered FROM n2",
+        "judge_run": f"WITH {ANSWERED}, i AS (SELECT id FROM (SELECT DISTINCT id FROM c) ORDER BY {order(42, 'id')}, id LIMIT 150), "
+        f"n AS (SELECT response_id, length({template(tx.JUDGE_PROMPT, _JUDGED_FIELDS)}) AS n FROM a WHERE id IN (SELECT id FROM i)), "
+        "k AS (SELECT *, n % 7 <> 0 AS ok, CAST(n % 5 + 1 AS INTEGER) AS k FROM n) SELECT response_id, ok AS judge_parse_ok, CASE WHEN ok THEN k END AS groundedness, "
+        "CASE WHEN ok THEN k END AS reasoning_quality, CASE WHEN ok THEN k END AS overall, CASE WHEN ok THEN n || ' characters' END AS rationale, "
+        "CASE WHEN NOT ok THEN 'no scores' END AS judge_raw FROM k",
+        "generation_run": f"WITH {C}, n AS (SELECT id, length({template(tx.PROMPT, _FIELDS)}) AS n FROM c) SELECT id, CASE WHEN n % 3 <> 0 THEN {echoed('n')} ELSE 'no sections' END AS raw_response FROM n",
+        "analyze_batch": f"WITH {C}, b AS (SELECT *, CASE WHEN coalesce(clause_text, '') = '' THEN 'empty' WHEN NOT ({substantive('clause_text')}) THEN 'not substantive' END AS reason FROM c), "
+        f"n AS (SELECT id, reason, CASE WHEN reason IS NULL THEN length({template(tx.PROMPT, _FIELDS)}) END AS n FROM b), k AS (SELECT *, coalesce(n % 3 <> 0, false) AS ok FROM n) "
+        "SELECT id, reason, CASE WHEN ok THEN CAST(n AS VARCHAR) END AS issue, CASE WHEN ok THEN 'r' END AS rule, CASE WHEN ok THEN 'a' END AS application, CASE WHEN ok THEN 'c' END AS conclusion, "
+        f"ok AS parse_ok, CASE WHEN ok THEN {echoed('n')} WHEN n IS NOT NULL THEN 'no sections' END AS raw_response, 'stand-in' AS model_id, 'none' AS adapter_name FROM k",
+        "analyze_not_ready": f"WITH {C} SELECT 'model not loaded' AS reason, false AS parse_ok, count(*) AS n FROM c",
+        "dry_run_gate": f"WITH {R}, b AS (SELECT run_id, NOT coalesce(starts_with({strip('raw_response')}, 'Issue:'), false) AS bad FROM r) "
+        "SELECT run_id, count(*) AS n, count(*) FILTER (bad) AS n_bad, count(*) FILTER (bad) = 0 AS passes FROM b GROUP BY 1",
+        "length_budget": f"WITH {ANSWERED}, {parsed('pa', 'a', 'raw_response')}, n AS (SELECT c.split, len(regexp_extract_all({template(tx.PROMPT, {'category': 'pa.category', 'clause_text': 'pa.clause_text'})}, {lit(clean.PIECE)})) "
+        f"+ len(regexp_extract_all({formatted(('pa.s1', 'pa.s2', 'pa.s3', 'pa.s4'))}, {lit(clean.PIECE)})) AS n FROM pa JOIN c ON pa.id = c.id) "
+        "SELECT split, count(*) AS n, max(n) AS max_size, quantile_disc(n, 0.99) AS p99_size, count(*) FILTER (n > 1024) AS n_over FROM n GROUP BY 1",
+        "training_steps": f"WITH {C} SELECT count(*) AS n, 16 AS effective_batch, CAST(ceil(count(*) / 16) * 3 AS BIGINT) AS steps FROM c WHERE split = 'train'",
+        "jsonl_roundtrip": f"WITH {C} SELECT * FROM c",
+        "csv_roundtrip": f"WITH {C} SELECT id, clause_text FROM c WHERE clause_text IS NOT NULL",
+        "splits_roundtrip": f"WITH {C} SELECT id, split FROM c WHERE split IS NOT NULL",
+        "partitioned_roundtrip": f"WITH {C} SELECT id, split FROM c",
+        "ids_roundtrip": f"WITH {C} SELECT id FROM (SELECT DISTINCT id FROM c) ORDER BY {order(42, 'id')}, id LIMIT 150",
+        "last_by_key": "SELECT DISTINCT id, split, source FROM analyze_requests",
     }
     rubric_run, judge_run = summary("sc", "run_id"), out["judge_summary"].rsplit("SELECT run_id", 1)[1]
     rub = ", ".join(f"x.{c} AS rubric_{c}" for c in ("n", *rubric.COMPONENTS, "aggregate", "parse_ok_rate"))
     jud = ", ".join(f"y.{c} AS judge_{c}" for c in ("n", "groundedness", "reasoning_quality", "overall", "parse_ok_rate"))
     out["consolidated_summary"] = f"WITH {SCORED}, {JUDGED}, x AS ({rubric_run}), y AS (SELECT run_id{judge_run}) SELECT x.run_id, {rub}, {jud} FROM x JOIN y ON x.run_id = y.run_id"
+    out["summary_append"] = out["judge_summary"]
     names = {"corrupt_drop_section": "drop_section", "corrupt_reorder": "reorder_sections", "corrupt_wrong_citation": "wrong_citation",
              "corrupt_unsupported_claim": "unsupported_claim", "corrupt_contradict": "contradict_conclusion", "corrupt_truncate": "truncate"}
     return out | {name: corrupted(kind) for name, kind in names.items()}

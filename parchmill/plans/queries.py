@@ -7,7 +7,9 @@ digest by an expression that the SQL side repeats.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from parchmill.functions import corrupt, rubric
 from parchmill.functions import text as tx
 from parchmill.operators import clean, judge, sample, split
-from parchmill.session import table
+from parchmill.session import own_folder, table
+from parchmill.sources import io
 from parchmill.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +28,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "analyze_requests").select("id", "contract", "category", "clause_text").distinct()
+    return clean.one_per_key(table(spark, sf, "analyze_requests").select("id", "contract", "category", "clause_text", "split"), "id")
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "analyze_responses").select("response_id", "run_id", "id", "contract", "category", "raw_response").distinct()
+    rows = table(spark, sf, "analyze_responses").select("response_id", "run_id", "id", "contract", "category", "raw_response")
+    return clean.one_per_key(rows, "response_id")
 
 
 def answered(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,6 +86,23 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
     return tx.with_sections(r, "raw_response").select(F.col("response_id").alias("id"), "contract", "category", tx.format_sections(F.col("__s")).alias("target"))
 
 
+def prompted_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets with the clause they analyse and the prompt that asks for them."""
+    r = tx.with_sections(answered(spark, sf), "raw_response").select("response_id", "contract", "category", "clause_text", tx.format_sections(F.col("__s")).alias("target"))
+    return clean.with_prompts(r.withColumnRenamed("response_id", "id")).drop("teacher_prompt")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys and scores of judged responses: narrow, so that samples do not carry texts."""
+    s = rubric.with_rubric(answered(spark, sf)).select("run_id", "id", "category", "clause_text", "raw_response", "aggregate")
+    joined = judge.judged_with_rubric(s, judged(spark, sf))
+    return joined.select("run_id", "id", "rubric_aggregate", "judge_groundedness", "judge_reasoning_quality", "judge_overall", "judge_rationale", "disagreement")
+
+
 # ---- parsing and scalar functions ----
 
 
@@ -216,7 +237,13 @@ corrupt_truncate = _corrupted("truncate")
 
 
 def dpo_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return corrupt.preference_pairs(targets(spark, sf)).select("id", "contract", "category", "chosen", "rejected", "corruption_type")
+    return corrupt.preference_pairs(prompted_targets(spark, sf)).select(
+        "id", "contract", "category", "clause_text", "prompt", "chosen", "rejected", "corruption_type"
+    )
+
+
+def dpo_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return corrupt.training_rows(dpo_pairs(spark, sf))
 
 
 def dpo_pairs_exact(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +251,7 @@ def dpo_pairs_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corruption_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return dpo_pairs(spark, sf).groupBy("corruption_type").agg(F.count(F.lit(1)).alias("n"))
+    return corrupt.preference_pairs(targets(spark, sf)).groupBy("corruption_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sft_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,12 +290,22 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    return split.leaks(_split(spark, sf))
+    """Of the split that the table brings with it."""
+    return split.leakage(clauses(spark, sf))
+
+
+def split_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """The targets' split, which the table brings with it, against that of the pairs, by contract: how many ids are where."""
+    where = _split(spark, sf).select("id", "split")
+    brought = clauses(spark, sf).select("id", "split")
+    asked = responses(spark, sf).select("response_id", "id")
+    a = targets(spark, sf).where("target is not null").select(F.col("id").alias("response_id")).join(asked, "response_id").join(brought, "id")
+    b = corrupt.preference_pairs(targets(spark, sf)).select(F.col("id").alias("response_id")).join(asked, "response_id").join(where, "id")
+    return split.agreement(a.select("response_id", "split"), b.select("response_id", "split"), "response_id")
 
 
 def contract_split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    names = [r[0] for r in clauses(spark, sf).select("contract").where("contract is not null").distinct().toLocalIterator()]
-    return spark.createDataFrame(sorted(split.assign_groups_exact(names).items()), "contract string, split string")
+    return split.split_exact(clauses(spark, sf).select("contract")).withColumnRenamed("name", "contract")
 
 
 # ---- samples ----
@@ -288,18 +325,36 @@ def review_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sample.review_sample(keyed, key="key").select("key", "sample_reason", "rubric_aggregate")
 
 
+def first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.first_rows(clauses(spark, sf).select("id", "split"), 100, "id")
+
+
+def smoke_subset(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.subset(clauses(spark, sf).select("id", "split"), {"train": 60, "valid": 20})
+
+
 def review_sheet(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.review_sheet(review_sample(spark, sf), ["key", "sample_reason", "rubric_aggregate"], ["reviewer_verdict", "reviewer_notes"])
+    scores = rubric.with_rubric(answered(spark, sf)).where("structure_ok = 1").select(F.col("response_id").alias("id"), *rubric.COMPONENTS, "aggregate")
+    rows = sample.review_sample(scores).join(prompted_targets(spark, sf).drop("prompt"), "id")
+    return sample.sheet(rows, sample.REVIEW_SHEET)
 
 
 def judge_validation_join(spark: SparkSession, sf: str) -> DataFrame:
-    joined = judge.judged_with_rubric(scored(spark, sf), judged(spark, sf))
-    return joined.select("run_id", "id", "judge_overall", F.round("rubric_aggregate", 10).alias("rubric_aggregate"), "disagreement")
+    return validated(spark, sf).select("run_id", "id", "judge_overall", F.round("rubric_aggregate", 10).alias("rubric_aggregate"), "disagreement")
 
 
 def judge_validation_sample(spark: SparkSession, sf: str) -> DataFrame:
-    joined = judge.judged_with_rubric(scored(spark, sf), judged(spark, sf))
-    return sample.validation_sample(joined).select("run_id", "id", "sample_reason", "judge_overall", "disagreement")
+    return sample.validation_sample(validated(spark, sf)).select("run_id", "id", "sample_reason", "judge_overall", "disagreement")
+
+
+def judge_review_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    texts = answered(spark, sf).select("run_id", "id", "category", "clause_text", "raw_response")
+    rows = sample.validation_sample(validated(spark, sf)).withColumn("rubric_aggregate", F.bround("rubric_aggregate", 3))
+    return sample.sheet(rows.join(texts, ["run_id", "id"]), sample.JUDGE_SHEET)
+
+
+def sample_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.reason_counts(sample.validation_sample(validated(spark, sf)))
 
 
 # ---- summaries ----
@@ -314,17 +369,10 @@ def consolidated_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validation_findings(spark: SparkSession, sf: str) -> DataFrame:
-    joined = judge.judged_with_rubric(scored(spark, sf), judged(spark, sf))
-    verdict = F.when(tx.row_seed(F.col("id")) % 100 < 54, "upheld").otherwise("overturned")
-    return judge.validation_findings(joined.withColumn("verdict", verdict), "run_id", "judge_overall")
-
-
-def split_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids that the targets and the preference pairs do not put in the same split: none."""
-    where = _split(spark, sf).select("contract", "split").distinct()
-    a = targets(spark, sf).where("target is not null").select("id", "contract").join(where, "contract").select("id", "split")
-    b = dpo_pairs(spark, sf).select("id", "contract").join(where, "contract").select("id", "split")
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    h = tx.row_seed(F.concat_ws("|", "run_id", "id")) % 4
+    verdict = F.element_at(F.array(*[F.lit(v) for v in judge.VERDICTS]), (h + 1).cast("int")).alias("human_verdict")
+    reviewed = sample.validation_sample(validated(spark, sf)).select("run_id", "sample_reason", "judge_overall", verdict)
+    return judge.validation_findings(reviewed, "run_id", "sample_reason", "judge_overall")
 
 
 # ---- resumable runs ----
@@ -339,23 +387,118 @@ def id_list_semijoin(spark: SparkSession, sf: str) -> DataFrame:
     return resume.restricted(responses(spark, sf), id_sample(spark, sf)).select("response_id", "id")
 
 
+def echo(prompts: list[str]) -> list[str]:
+    """A stand-in for a model, told by the prompts' lengths alone; it is not asked for quality."""
+    return [f"Issue: {len(p)}\nRule: r\nApplication: a\nConclusion: c" if len(p) % 3 else "no sections" for p in prompts]
+
+
+def verdict(prompts: list[str]) -> list[str]:
+    """A stand-in for a judge."""
+    line = "GROUNDEDNESS: {0}\nREASONING_QUALITY: {0}\nOVERALL: {0}\nRATIONALE: {1} characters"
+    return [line.format(len(p) % 5 + 1, len(p)) if len(p) % 7 else "no scores" for p in prompts]
+
+
 def model_run_stub(spark: SparkSession, sf: str) -> DataFrame:
-    """A run with a stand-in for a model: it gives the prompt's last words back, and is not asked for quality."""
+    return resume.targets(clean.with_prompts(clauses(spark, sf)), echo).select("id", "target", "parse_ok", "retried")
+
 
-    def echo(prompts: list[str]) -> list[str]:
-        return [f"Issue: {len(p)}\nRule: r\nApplication: a\nConclusion: c" if len(p) % 3 else "no sections" for p in prompts]
+def model_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    return resume.run_report(resume.targets(clean.with_prompts(clauses(spark, sf)), echo))
 
-    return resume.targets(clean.with_prompts(clauses(spark, sf)), echo).select("id", "target", "parse_ok")
+
+def judge_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The responses to a sample of ids, in two runs over the same output: the second finds nothing to do."""
+    path = fresh_path(spark, "judged")
+    rows = answered(spark, sf)
+    for _ in range(2):
+        resume.judge_run(rows, verdict, path, id_sample(spark, sf), "response_id")
+    return spark.read.parquet(path).select("response_id", "judge_parse_ok", *judge.SCORES, "rationale", "judge_raw")
+
+
+def generation_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All prompts, the first 1,000 of them in a run of their own."""
+    path = fresh_path(spark, "generated")
+    rows = clean.with_prompts(clauses(spark, sf)).select("id", "prompt")
+    for limit in (1_000, 0):
+        resume.generation_run(rows, echo, path, limit)
+    return spark.read.parquet(path).select("id", "raw_response")
 
 
 def analyze_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The service's guard over a batch: why a clause would be turned away, or its prompt."""
-    reason = F.when(F.coalesce("clause_text", F.lit("")) == "", "empty").when(~tx.is_substantive(F.col("clause_text")), "not substantive")
-    fields = {"category": F.col("category"), "clause_text": F.col("clause_text")}
-    return clauses(spark, sf).select("id", reason.alias("reason"), F.when(reason.isNull(), tx.filled(tx.PROMPT, **fields)).alias("prompt"))
+    done = resume.analyzed(clauses(spark, sf).select("id", "category", "clause_text"), echo, "stand-in", "none")
+    return done.select("id", "reason", *[s.lower() for s in tx.SECTIONS], "parse_ok", "raw_response", "model_id", "adapter_name")
+
+
+def analyze_not_ready(spark: SparkSession, sf: str) -> DataFrame:
+    done = resume.analyzed(clauses(spark, sf).select("id", "category", "clause_text"), None, "stand-in")
+    return done.groupBy("reason", "parse_ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dry_run_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return resume.dry_run_gate(responses(spark, sf), "run_id")
+
+
+def length_budget(spark: SparkSession, sf: str) -> DataFrame:
+    where = clauses(spark, sf).select(F.col("id").alias("request"), "split")
+    asked = responses(spark, sf).select(F.col("response_id").alias("id"), F.col("id").alias("request")).join(where, "request")
+    return clean.length_budget(prompted_targets(spark, sf).where("target is not null").join(asked, "id"), "prompt", "target")
+
+
+def training_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.training_steps(clauses(spark, sf).where("split = 'train'"), 3, 2, 8)
+
+
+# ---- sources and sinks: what is written is what is read again ----
+
+
+def jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows, path = clauses(spark, sf), fresh_path(spark, "jsonl")
+    io.write_jsonl(rows, path)
+    return io.read_jsonl(spark, path, rows.schema)
+
+
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows, path = clauses(spark, sf).where("clause_text is not null").select("id", "clause_text"), fresh_path(spark, "csv")
+    io.write_csv(rows, path)
+    return io.read_csv(spark, path, rows.schema)
+
+
+def splits_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows, folder = clauses(spark, sf), fresh_path(spark, "splits")
+    io.write_splits(rows, folder, "sft")
+    parts = {p.rsplit("/", 2)[1] for p in io.discover(spark, folder, "*.json")}
+    read = [io.read_jsonl(spark, f"{folder}/{p}", rows.drop("split").schema).withColumn("split", F.lit(p.split("_")[1])) for p in sorted(parts)]
+    return reduce(DataFrame.unionByName, read).select("id", "split")
+
+
+def partitioned_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows, path = clauses(spark, sf), fresh_path(spark, "partitioned")
+    io.write_partitioned(rows, path)
+    return spark.read.schema("id string, split string").json(path)
+
+
+def ids_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "ids")
+    io.write_ids(id_sample(spark, sf), path)
+    return io.read_ids(spark, path)
+
+
+def last_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row delivered, keyed by its id: the file is read back with one row an id."""
+    rows, path = table(spark, sf, "analyze_requests").select("id", "split", "source"), fresh_path(spark, "keyed")
+    io.write_jsonl(rows, path)
+    return io.read_last_by_key(spark, path, rows.schema, "id")
+
+
+def summary_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The judge's summary in two appends to one table."""
+    runs, path = judge_summary(spark, sf), fresh_path(spark, "summary")
+    for even in (0, 1):
+        io.append_summary(runs.where(F.crc32("run_id") % 2 == even), path)
+    return spark.read.parquet(path)
 
 
-_BASES = {"clauses", "responses", "answered", "scored", "rows_scored", "judged", "reviews", "source_rows", "spellings", "targets"}
+_BASES = {"clauses", "responses", "answered", "scored", "rows_scored", "judged", "reviews", "source_rows", "spellings", "targets", "prompted_targets", "validated", "fresh_path", "echo", "verdict"}
 
 
 def queries() -> dict[str, Query]:

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -50,28 +48,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_owned: set[str] = set()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one: all it writes between steps lies there, and it deletes it at its end."""
+    path = f"{shared_folder(spark)}/parchmill-{spark.sparkContext.applicationId}"
+    if path not in _owned:
+        _owned.add(path)
+        atexit.register(discard, spark)
+    return path
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what this application wrote between steps. DataFrames that still read it must not be used afterwards.
+
+    Runs by itself when the driver's process ends; a long-lived application calls it once its results are written.
+    """
+    try:
+        path = f"{shared_folder(spark)}/parchmill-{spark.sparkContext.applicationId}"
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        for path in _owned:
+            if path.startswith("file://"):
+                shutil.rmtree(path[len("file://") :], ignore_errors=True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
     The files outlive lost executors, so nothing above them is computed twice.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that are done: Spark deletes them once neither side refers to them.
-
-    The first round ends Python's references and the JVM's finalizers, only the second frees what they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 _shipped: set[str] = set()
 
 

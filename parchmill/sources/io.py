@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
 from fnmatch import fnmatch
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +42,10 @@ def read_last_by_key(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header and quoted line breaks; a path that is missing gives no rows."""
+    """CSV with a header and quoted line breaks; a path that is missing gives no rows. An empty cell is an empty text, no null."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\0").csv(path)
 
 
 def read_ids(spark: SparkSession, path: str, name: str = "id") -> DataFrame:
@@ -109,22 +108,19 @@ def append_summary(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, quotes doubled and line breaks kept."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for a summary or a review sheet: as many rows as a person reads."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    write_csv(df.coalesce(1), path)
 
 
 def write_ids(df: DataFrame, path: str, name: str = "id") -> None:
     """A JSON array of a bounded sample's ids, sorted."""
     ids = df.select(F.to_json(F.array_sort(F.collect_list(name))).alias("value"))
     ids.coalesce(1).write.mode("overwrite").text(path)
-
-
-def report(rows: DataFrame, *by: str) -> DataFrame:
-    """Row count by ``by``, with its share of all."""
-    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
-
-
-def schema_of(fields: Mapping[str, str]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))

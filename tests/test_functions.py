@@ -1,6 +1,8 @@
 """Parsing, rubric and corruptions: cases, edge cases, and Spark against plain Python."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +47,29 @@ def test_irac_parse_equals_the_pattern(spark, text):
     assert (tuple(got) if got else None) == irac(text)
 
 
+def test_random_label_soups_parse_as_the_pattern_does(spark):
+    rng = random.Random(1)
+    parts = ["Issue:", "Rule:", "Application:", "Conclusion:", "a", "\n", " b ", "issue:", "\u00a0", "Conclusion"]
+    soup = lambda n: "".join(rng.choices(parts, k=rng.randint(0, n)))
+    texts = [soup(14) for _ in range(700)] + ["".join(soup(2) + (x if rng.random() < 0.9 else "") for x in parts[:4]) + soup(3) for _ in range(700)]
+    got = column(spark, texts, tx.parse_irac(F.col("t")))
+    assert [tuple(g) if g else None for g in got] == [irac(t) for t in texts]
+    assert sum(g is not None for g in got) > 20
+
+
+def test_repeated_labels_without_an_end_take_no_longer(spark):
+    text = "Issue: a Rule: b Application: c " * 3_200
+    column(spark, [text], tx.parse_irac(F.col("t")))
+    began = time.perf_counter()
+    assert column(spark, [text, text + "Conclusion: d"], tx.parse_irac(F.col("t")).isNotNull()) == [False, True]
+    assert time.perf_counter() - began < 10
+
+
+def test_sentences_and_titles_break_at_any_white_space(spark):
+    assert column(spark, ["One.\u00a0Two.\u0085Three"], tx.sentences(F.col("t"))) == [["One.", "Two.", "Three"]]
+    assert column(spark, ["Acme\u00a0Co. 12"], tx.company_key(F.col("t"))) == ["ACMECO"]
+
+
 def test_null_parses_to_null_and_format_round_trips(spark):
     assert column(spark, [None], tx.parse_irac(F.col("t"))) == [None]
     assert column(spark, [GOOD], tx.format_sections(tx.parse_irac(F.col("t")))) == [GOOD]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parchmill import session
 from parchmill.operators import clean, judge, sample, split
 from parchmill.sources import io
 from parchmill.streaming import resume
@@ -36,7 +37,7 @@ def test_split_exact_is_the_seeded_shuffle():
 def test_split_keeps_rows_and_leaks_nothing(spark):
     df = groups(spark, 60, 4).withColumn("split", F.lit("old")).withColumn("id", F.monotonically_increasing_id())
     out = split.split_records(df)
-    assert out.count() == 240 and split.leaks(out).isEmpty() and "old" not in {r.split for r in out.collect()}
+    assert out.count() == 240 and not any(r.leaks for r in split.leakage(out).collect()) and "old" not in {r.split for r in out.collect()}
 
 
 def test_split_of_nothing_and_of_null_groups(spark):
@@ -89,7 +90,7 @@ def test_join_drops_failed_and_measures_disagreement(spark):
 def test_three_strata_are_disjoint(spark):
     got = sample.validation_sample(judge.judged_with_rubric(*judgements(spark)), 5, 3, 2).collect()
     assert len(got) == 10 and len({(r.run_id, r.id) for r in got}) == 10
-    assert sum(r.sample_reason == "low_judge_score" for r in got) == 5 and sum(r.sample_reason == "disagreement" for r in got) == 3
+    assert sum(r.sample_reason == "low_judge_score" for r in got) == 5 and sum(r.sample_reason == "rubric_judge_disagreement" for r in got) == 3
     assert all(r.judge_overall == 1 for r in got if r.sample_reason == "low_judge_score")
 
 
@@ -183,3 +184,73 @@ def test_stream_appends_once(spark, tmp_path):
         stream = spark.readStream.schema("id string, teacher_prompt string").parquet(src)
         resume.resume_stream(stream, lambda d: resume.targets(d, model()), out, f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_one_per_key_keeps_null_keys_once_and_shuffles_no_text(spark):
+    rows = [("a", "x"), ("a", "x"), (None, "n"), (None, "n"), ("b", "y"), ("c", None)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    assert sorted(map(str, (tuple(r) for r in clean.one_per_key(df, "id").collect()))) == sorted(map(str, {*rows}))
+    assert clean.one_per_key(df.limit(0), "id").isEmpty()
+    plan = clean.one_per_key(df.where("id = 'b'"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_first_rows_subset_and_sheets(spark):
+    df = spark.createDataFrame([(f"{i:02d}", "train" if i % 2 else "valid") for i in range(20)], "id string, split string")
+    assert [sample.first_rows(df, n, "id").count() for n in (3, 0, None)] == [3, 20, 20]
+    got = sample.subset(df, {"train": 4, "valid": 30, "none": 2}).collect()
+    assert sum(r.split == "train" for r in got) == 4 and len(got) == 14
+    row = sample.sheet(spark.createDataFrame([("1", None)], "id string, category string"), sample.REVIEW_SHEET).first()
+    assert tuple(row.asDict()) == sample.REVIEW_SHEET and row.id == "1" and row.category == row.reviewer_verdict == row.target == ""
+
+
+def test_analysis_to_the_end_and_why_it_is_turned_away(spark):
+    clause = "The Buyer shall pay the agreed price within ten days after delivery."
+    df = spark.createDataFrame([("1", "Cap", clause), ("2", "Cap", ""), ("3", "Cap", None), ("4", None, "Void."), ("5", "x", clause + " boom")], "id string, category string, clause_text string")
+
+    def reply(prompts):
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("down")
+        return ["Issue: a Rule: b Application: c Conclusion: d"] * len(prompts)
+
+    got = {r.id: r for r in resume.analyzed(df, reply, "m", batch=1).collect()}
+    assert [got[k].reason for k in "12345"] == [None, "empty", "empty", "not substantive", None]
+    assert (got["1"].issue, got["1"].conclusion, got["1"].parse_ok, got["1"].model_id, got["1"].adapter_name) == ("a", "d", True, "m", None)
+    assert not got["5"].parse_ok and "down" in got["5"].error and got["5"].issue is None
+    assert {r.reason for r in resume.analyzed(df, None, "m").collect()} == {"model not loaded"}
+
+
+def test_judge_and_generation_runs_do_what_is_left(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), "c", "t", "z" * i, "p") for i in range(6)], "id string, category string, clause_text string, raw_response string, prompt string")
+    ids = spark.createDataFrame([("1",), ("2",), ("9",)], "id string")
+
+    def scores(prompts):
+        return ["GROUNDEDNESS: 4\nREASONING_QUALITY: 5\nOVERALL: 3\nRATIONALE: ok" if "zz" in p else "?" for p in prompts]
+
+    def parrot(prompts):
+        return prompts
+
+    assert [resume.judge_run(rows, scores, f"{tmp_path}/j", ids), resume.judge_run(rows, scores, f"{tmp_path}/j", ids), resume.judge_run(rows, scores, f"{tmp_path}/j")] == [2, 0, 4]
+    assert {r.id: r.overall for r in spark.read.parquet(f"{tmp_path}/j").collect()} == {"0": None, "1": None, **dict.fromkeys("2345", 3)}
+    assert [resume.generation_run(rows.drop("raw_response"), parrot, f"{tmp_path}/g", n) for n in (2, 0, None)] == [2, 4, 0]
+    gate = resume.dry_run_gate(spark.createDataFrame([("a", " Issue: x"), ("a", None), ("b", "Issue: y")], "run string, raw_response string"), "run")
+    assert {r.run: (r.n, r.n_bad, r.passes) for r in gate.collect()} == {"a": (2, 1, False), "b": (1, 0, True)}
+
+
+def test_agreement_steps_and_too_many_names(spark, monkeypatch):
+    a = spark.createDataFrame([("1", "train"), ("2", "test")], "id string, split string")
+    b = spark.createDataFrame([("1", "train"), ("3", "valid")], "id string, split string")
+    assert {(r.split_a, r.split_b): r.n for r in split.agreement(a, b).collect()} == {("train", "train"): 1, ("test", None): 1, (None, "valid"): 1}
+    assert tuple(clean.training_steps(spark.range(5987), 3, 2, 8).first()) == (5987, 16, 1125)
+    assert dict(r for r in split.split_exact(a.select("id")).collect()).keys() == {"1", "2"}
+    monkeypatch.setattr(split, "MAX_NAMES", 1)
+    with pytest.raises(ValueError):
+        split.split_exact(a.select("id"))
+
+
+def test_settings_and_own_folder(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"a": 1}')
+    assert io.read_settings(spark, f"{tmp_path}/s.json") == {"a": 1}
+    kept = session.written(spark.range(3), "x")
+    folder = session.own_folder(spark)
+    assert kept.count() == 3 and folder.split(":")[-1].strip("/") in kept.inputFiles()[0]
