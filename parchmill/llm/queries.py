@@ -46,7 +46,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_ranking(spark: SparkSession, sf: str) -> DataFrame:
     runs = ranking.run_scores(*(table(spark, sf, t) for t in ("rubric_scores", "llm_judge_summary", "runs")))
     scored = ranking.combined_scores(runs, ["grid_id"], {"aggregate": 1, "overall": 1, "groundedness": 1})
-    return ranking.ranked(scored, ["grid_id"], "run_id")
+    places = ranking.ranked(scored, ["grid_id"], "run_id")
+    return places.withColumns({c: F.round(c, 10) for c in ("aggregate", "combined")})
 
 
 def _values(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, truncation.TerminalModel]]:

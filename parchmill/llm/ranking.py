@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.session import written
+
 #: Median absolute deviation of a normal distribution with unit spread.
 MAD_TO_SPREAD = 1.4826
 #: Rank accuracy of the quantile sketch: medians are exact up to this many rows a group.
@@ -51,20 +53,17 @@ def combined_scores(df: DataFrame, group: Sequence[str], weights: Mapping[str, f
 
 
 def first_of_group(df: DataFrame, group: Sequence[str], item: str) -> DataFrame:
-    """The best item of each group; equal scores are decided by the smaller item. A map-side aggregate, no sort."""
-    best = F.max(F.struct(F.col("combined"))).alias("__top")
-    top = df.groupBy(*group).agg(best)
-    joined = df.alias("d").join(top.alias("t"), [F.col(f"d.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group])
-    return (
-        joined.where(F.col("d.combined") == F.col("t.__top.combined"))
-        .groupBy(*[F.col(f"d.{g}").alias(g) for g in group])
-        .agg(F.min(f"d.{item}").alias(item))
-    )
+    """The best item of each group; scores equal to ten places are decided by the smaller item.
+
+    One map-side aggregate, no sort, and no join with a second reckoning of the same scores, whose last bits may differ.
+    """
+    best = F.min(F.struct((-F.round("combined", 10)).alias("worse"), F.col(item).alias("item"))).alias("__best")
+    return df.groupBy(*group).agg(best).select(*group, F.col("__best.item").alias(item))
 
 
 def ranked(df: DataFrame, group: Sequence[str], item: str) -> DataFrame:
     """Add ``place`` within the group, 1 the best; equal scores are ordered by item."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("combined"), F.asc(item))))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round("combined", 10)), F.asc(item))))
 
 
 def run_scores(rubric: DataFrame, judge: DataFrame, runs: DataFrame) -> DataFrame:
@@ -80,4 +79,6 @@ def run_scores(rubric: DataFrame, judge: DataFrame, runs: DataFrame) -> DataFram
     )
     judged = judge.groupBy("run_id").agg(F.max("overall").alias("overall"), F.max("groundedness").alias("groundedness"))
     grids = runs.groupBy("run_id").agg(F.max("grid_id").alias("grid_id"))
-    return grids.join(means, "run_id").join(judged, "run_id").select("grid_id", "run_id", "aggregate", "overall", "groundedness")
+    scores = grids.join(means, "run_id").join(judged, "run_id").select("grid_id", "run_id", "aggregate", "overall", "groundedness")
+    # one row a run, read three times: written, so that all readers see the same numbers and nothing is summed again
+    return written(scores, "scores")

@@ -15,9 +15,12 @@ z AS (SELECT grid_id, run_id, aggregate, overall, groundedness,
              coalesce((groundedness - m3) / CASE WHEN d3 > 0 THEN d3 * 1.4826 WHEN a3 > 0 THEN a3 END, 0) AS z3
       FROM s JOIN m USING (grid_id) JOIN d USING (grid_id)),
 c AS (SELECT *, exp(-(ln(1 + exp(-abs(z1))) + greatest(-z1, 0)) / 3 - (ln(1 + exp(-abs(z2))) + greatest(-z2, 0)) / 3 - (ln(1 + exp(-abs(z3))) + greatest(-z3, 0)) / 3) AS combined FROM z),
-r AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY combined DESC, run_id) AS place FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY round(combined, 10) DESC, run_id) AS place FROM c)
 """
 
 
 def sql() -> dict[str, str]:
-    return {"p3_found": _RANKING + "SELECT grid_id, run_id FROM r WHERE place = 1"}
+    return {
+        "p3_found": _RANKING + "SELECT grid_id, run_id FROM r WHERE place = 1",
+        "p3_ranking": _RANKING + "SELECT grid_id, run_id, round(aggregate, 10) AS aggregate, overall, groundedness, round(combined, 10) AS combined, CAST(place AS INTEGER) AS place FROM r",
+    }
