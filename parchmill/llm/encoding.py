@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchmill.operators.clean import one_per_key
+
 #: Fixed value: the published split pattern of the byte_bpe vocabularies.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("PARCHMILL_TOKENIZERS", "/opt/tokenizers")
@@ -197,7 +199,8 @@ def with_token_count(df: DataFrame, text: str = "text", out: str = "n_tokens", n
 def one_per_id(documents: DataFrame) -> DataFrame:
     """A document delivered again, with the same id and text, is one record.
 
-    Unequal texts under one id, a null id included, are records of their own: each keeps its row.
+    Unequal texts under one id, a null id included, are records of their own: each keeps its row. Only ids and hashes of
+    the texts are shuffled; the texts stay where they are, but those that stand twice.
     """
-    # as an aggregate, so that no filter on what is worked out from the text is asked below it a second time
-    return documents.groupBy("doc_id", F.sha2("text", 256).alias("__same")).agg(F.max("text").alias("text")).drop("__same")
+    same = documents.withColumn("__same", F.sha2("text", 256))
+    return one_per_key(same, "doc_id", "__same").drop("__same")
