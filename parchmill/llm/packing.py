@@ -2,7 +2,8 @@
 
 Each partition packs its own items best-fit, largest first, and emits the containers that are nearly full. What is left
 travels on as items of its own: under-full containers are gathered by a tree that narrows ``FAN_IN`` to one and packs
-them best-fit again, until one task holds the rest. Only (container, fill) pairs move between the levels, never items.
+them best-fit again, until one task holds the rest or a round saves nothing. Containers that none of the others fits into are
+done and climb no further. Only (container, fill) pairs move between the levels, never items.
 """
 
 from __future__ import annotations
@@ -86,6 +87,12 @@ def pieces(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     )
 
 
+def _under_full(packed_rows: DataFrame, capacity: int) -> DataFrame:
+    """The containers that are not nearly full, once each, as items of their fill."""
+    rows = packed_rows.where(F.col("fill") < F.lit(capacity * NEARLY_FULL))
+    return rows.select(F.col("container").alias("item"), F.col("fill").alias("size")).distinct()
+
+
 def fill_containers(df: DataFrame, key: str, size: str, capacity: int = 1024) -> DataFrame:
     """(key, piece, start, size, container): every item once, no container over ``capacity``.
 
@@ -99,20 +106,31 @@ def fill_containers(df: DataFrame, key: str, size: str, capacity: int = 1024) ->
     items = written(pieces(clean, key, "__n", capacity), "items")
     level = items.select("item", "size")
     first = written(level.mapInPandas(_pack(capacity), PACKED), "packed")
-    width, moved = first.rdd.getNumPartitions(), None
-    under = first.where(F.col("fill") < F.lit(capacity * NEARLY_FULL)).select(F.col("container").alias("item"), F.col("fill").alias("size")).distinct()
+    width, moved, step_no = first.rdd.getNumPartitions(), None, 0
+    under = _under_full(first, capacity)
     while True:
-        width = -(-width // FAN_IN)
-        again = written(under.repartition(width, "item").mapInPandas(_pack(capacity), PACKED), "merged")
-        step = again.select(F.col("item").alias("from"), F.col("container").alias("to"))
-        if moved is None:
+        least = under.agg(F.min("size")).first()[0]
+        # what the least of them does not fit into takes no other either: it is as full as it gets
+        open_ = under.where(F.col("size") + F.lit(least) <= capacity)
+        n = open_.count() if least is not None else 0
+        if n < 2:
+            break
+        # no task gets more than ROUND_ROWS on average, however much is under-full
+        width, step_no = max(-(-width // FAN_IN), -(-n // ROUND_ROWS)), step_no + 1
+        again = written(open_.repartition(width, F.xxhash64("item", F.lit(step_no))).mapInPandas(_pack(capacity), PACKED), "merged")
+        step = again.where(F.col("item") != F.col("container")).select(F.col("item").alias("from"), F.col("container").alias("to"))
+        saved = not step.isEmpty()
+        if saved and moved is None:
             moved = step
-        else:  # where an earlier level put a container, and where that one went
-            s = step.withColumnsRenamed({"from": "to", "to": "next"})
-            moved = moved.join(s, "to", "left").select("from", F.coalesce("next", "to").alias("to"))
-        if width == 1:
+        elif saved:  # where an earlier level put a container, and where that one went
+            s = step.withColumnsRenamed({"from": "via", "to": "next"})
+            onward = moved.join(s, F.col("to") == F.col("via"), "left").select("from", F.coalesce("next", "to").alias("to"))
+            moved = onward.unionByName(step)
+        if width == 1 or not saved:
             break
-        under = again.where(F.col("fill") < F.lit(capacity * NEARLY_FULL)).select(F.col("container").alias("item"), F.col("fill").alias("size")).distinct()
+        under = _under_full(again, capacity)
+    if moved is None:
+        return items.join(first.select("item", "container"), "item").select(key, F.col("piece").cast("bigint").alias("piece"), "start", "size", "container")
     located = first.select("item", "container").join(moved, F.col("container") == F.col("from"), "left")
     located = located.select("item", F.coalesce("to", "container").alias("container"))
     return items.join(located, "item").select(key, F.col("piece").cast("bigint").alias("piece"), "start", "size", "container")
