@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchmill.llm.truncation import sample_texts
+
 #: Texts that the model is fitted on: a bound for the driver; every text is decoded whole.
 SAMPLE_ROWS = 4_000
 #: Characters of a sentence's beginning that the model of unpunctuated scripts looks at.
@@ -366,11 +368,8 @@ def _mark(text: str, c: str, at: int, step, closing: bool = False) -> None:
 
 
 def fit_model(df: DataFrame, text: str, key: str, rows: int = SAMPLE_ROWS) -> SentenceModel:
-    """Fit on at most about ``rows`` texts chosen by the hash of their key; the same rows for the same table."""
-    total = df.count()
-    share = min(1.0, rows / max(1, total))
-    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col(text).isNotNull())
-    return SentenceModel.fit(r[0] for r in picked.select(text).limit(2 * rows).toLocalIterator())
+    """Fit on about ``rows`` texts chosen by the hash of their key; every text is decoded whole."""
+    return SentenceModel.fit(sample_texts(df, text, key, rows))
 
 
 def with_unit_starts(df: DataFrame, model: SentenceModel, text: str = "text", out: str = "starts") -> DataFrame:
