@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parchmill import session
 from parchmill.llm import overlap, packing, queries, ranking, sql
 
 # ---- problem 3 ----
@@ -262,6 +263,18 @@ def test_containers_hold_every_item_once(spark):
     assert len(fill) <= 1.02 * sum(n or 0 for n in sizes) / 1024 + 1
 
 
+def test_containers_that_take_no_more_climb_no_further(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "written", lambda df, label: seen.append(label) or session.written(df, label))
+    half = spark.range(5000).select("id", (F.col("id") % 100 + 600).alias("n")).repartition(40)
+    assert packing.fill_containers(half, "id", "n", 1024).select("container").distinct().count() == 5000 and "merged" not in seen
+    monkeypatch.setattr(packing, "ROUND_ROWS", 50)
+    mixed = spark.range(2000).select("id", (F.col("id") % 7 * 60 + 40).alias("n")).repartition(30)
+    got = packing.fill_containers(mixed, "id", "n", 1024)
+    fill = [r.f for r in got.groupBy("container").agg(F.sum("size").alias("f")).collect()]
+    assert max(fill) <= 1024 and sum(fill) == mixed.agg(F.sum("n")).first()[0] and len(fill) <= 1.02 * sum(fill) / 1024 + 1
+
+
 def test_nothing_and_only_empties(spark):
     df = spark.createDataFrame([(1, 0), (2, None)], "doc_id bigint, n bigint")
     assert packing.fill_containers(df.limit(0), "doc_id", "n").isEmpty()

@@ -326,3 +326,32 @@ def test_odd_texts_do_not_fail(tagger, text):
 
 def test_series_of_arrays_survives_pandas():
     assert list(pd.Series([[1], []], dtype=object)) == [[1], []]
+
+
+def test_samples_never_turn_empty(spark):
+    for total in (0, 1, 10**6, 10**12, 10**18, 10**30):
+        bound = truncation.hash_bound(20_000, total)
+        share = (bound + (1 << 63) + 1) / (1 << 64)
+        assert 0 < share <= 1 and (total > 10**18 or share == pytest.approx(min(1, 20_000 / max(1, total)), rel=1e-3))
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    got = truncation.sample_texts(df, "text", "key", 500)
+    assert 350 < len(got) < 650 and got == truncation.sample_texts(df, "text", "key", 500)
+    assert len(truncation.sample_texts(df, "text", "key", 5000)) == 3000 and truncation.sample_texts(df.limit(0), "text", "key", 5) == []
+    with pytest.raises(ValueError):
+        truncation.sample_texts(df.withColumn("key", F.lit("a")), "text", "key", 1)
+    assert not truncation.fit_model(df.limit(0), "text", "key").is_cut("The Buyer shall pay the agreed price")
+
+
+def test_copies_of_short_prompts(model):
+    assert truncation.TerminalModel.fit([]).end_probability("any words") == 1.0
+    for answer, prompt, want in (
+        ("Intentionally omitted.", "Intentionally omitted.", True), ("Issue: Void.", "Void.", True), ("Void, and so of no effect.", "Void.", False),
+        ("The clause is void.", "Void.", False), ("Void.", "", False), ("", "Void.", False), ("1 2 3", "1 2 3", False),
+    ):
+        assert defects.is_copy(answer, prompt) is want, answer
+
+
+def test_ids_are_found_without_moving_texts(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id bigint, text string")
+    plan = encoding.with_ids(encoding.one_per_id(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
