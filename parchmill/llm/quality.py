@@ -32,7 +32,6 @@ VERBS = {
 SHORT_WORDS = 7  # up to here a text may be a phrase without a verb
 MIN_VERB_SHARE = 0.012
 MIN_COMMON_SHARE = 0.10
-PLAIN_COMMON_SHARE = 0.25  # with a verb, prose without further questions
 MIN_LETTER_SHARE = 0.55
 MAX_SYMBOL_SHARE = 0.15
 MAX_MEAN_WORD = 14.0
@@ -43,7 +42,16 @@ MAX_MARKUP_SHARE = 0.02
 MIN_ROW_SHARE = 0.6
 MIN_ROWS = 3  # fewer lines are no table
 MIN_ITEMS = 3
-MAX_ITEM_WORDS = 12
+
+# Thresholds as published for web text with the Gopher models, and the terminal mark of the C4 corpus.
+PUBLISHED_WORDS = (50, 100_000)
+PUBLISHED_MEAN_WORD = (3, 10)
+PUBLISHED_SYMBOLS = 0.1  # of # and ellipses to words
+PUBLISHED_BULLETS = 0.9  # of lines that begin with a bullet
+PUBLISHED_ELLIPSES = 0.3  # of lines that end with an ellipsis
+PUBLISHED_ALPHABETIC = 0.8  # of words with a letter
+PUBLISHED_STOP_WORDS = 2
+# End of fixed values.
 
 ROW_END = r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]"
 #: A line of cells: bars, tabs, dot leaders, columns held apart by blanks, or delimiters without a blank after them.
@@ -69,12 +77,8 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def measured(df: DataFrame, text: str, all_figures: bool = True) -> DataFrame:
-    """Add a column ``__s_…`` for each statistic.
-
-    Unless ``all_figures``, those that only the rules for other texts ask for are null where a text has a sentence and
-    so many common words that it is prose by that alone.
-    """
+def measured(df: DataFrame, text: str) -> DataFrame:
+    """Add a column ``__s_…`` for each statistic."""
     t = F.coalesce(F.col(text), F.lit(""))
     step = df.withColumn("__t", F.regexp_replace(t, r"^\s+|\s+$", ""))
     t = F.col("__t")
@@ -118,10 +122,9 @@ def measured(df: DataFrame, text: str, all_figures: bool = True) -> DataFrame:
         "n_body": n_body.cast("bigint"),
         "n_hex": F.regexp_count(t, F.lit(r"(?:^|\s)[0-9a-f]{2}(?=\s|$)")).cast("bigint"),
         "n_tokens": n_tokens.cast("bigint"),
+        "n_signs": F.regexp_count(t, F.lit(r"#|…|\.{3}")).cast("bigint"),
+        "ellipsis_share": _ratio(F.size(F.filter(lines, lambda x: x.rlike(r"(?:…|\.{3})\s*$"))).cast("double"), n_lines.cast("double")),
     }
-    if not all_figures:
-        step = step.withColumns({f"__s_{n}": columns.pop(n) for n in ("n_chars", "common_share", "verb_share")})
-        columns = {n: F.when(~plain_prose(), c) for n, c in columns.items()}
     # columns of their own, not fields: else the optimizer would put each pattern wherever its figure is used
     step = step.withColumns({f"__s_{n}": c for n, c in columns.items()})
     return step.drop("__t", "__lines", "__words", "__bare", "__body")
@@ -137,10 +140,6 @@ def _gathered(step: DataFrame) -> DataFrame:
     return step.withColumn("stats", F.struct(*[F.col(c).alias(c[4:]) for c in names])).drop(*names)
 
 
-def plain_prose() -> Column:
-    return (F.col("__s_verb_share") >= MIN_VERB_SHARE) & (F.col("__s_common_share") >= PLAIN_COMMON_SHARE)
-
-
 def reasons() -> Column:
     """The rules that a measured text fails, in order; an empty array for a text that fails none."""
     sentence = F.col("__s_verb_share") >= MIN_VERB_SHARE
@@ -159,15 +158,32 @@ def reasons() -> Column:
         "junk: few letters": ~rows & (F.col("__s_letter_share") < 0.35) & (F.col("__s_n_chars") > 0),
         "junk: no common words": ~rows & sentence & long & (F.col("__s_common_share") < MIN_COMMON_SHARE),
     }
-    return F.filter(F.array(*[F.when(c & ~plain_prose(), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+
+
+def published() -> Column:
+    """The published rules that a measured text fails, by name. They were set for whole web pages: a clause of thirty words
+    is too short for one of them, so they are told beside the kind and do not make it."""
+    n, lines = F.col("__s_n_words"), F.col("__s_n_lines")
+    checks = {
+        "word count": (n < PUBLISHED_WORDS[0]) | (n > PUBLISHED_WORDS[1]),
+        "mean word length": (F.col("__s_mean_word_length") < PUBLISHED_MEAN_WORD[0]) | (F.col("__s_mean_word_length") > PUBLISHED_MEAN_WORD[1]),
+        "symbols to words": F.col("__s_n_signs") > PUBLISHED_SYMBOLS * n,
+        "bullet lines": (lines > 0) & (F.col("__s_label_share") > PUBLISHED_BULLETS),
+        "ellipsis lines": F.col("__s_ellipsis_share") > PUBLISHED_ELLIPSES,
+        "alphabetic words": F.col("__s_n_tokens") * PUBLISHED_ALPHABETIC > n,
+        "stop words": F.col("__s_common_share") * n < PUBLISHED_STOP_WORDS,
+        "no line ends in a mark": (lines > 0) & (F.col("__s_line_end_share") == 0),
+    }
+    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
 
 
-def with_kind(df: DataFrame, text: str = "clause_text", all_figures: bool = True) -> DataFrame:
-    """Add ``stats``, ``reasons`` and ``kind``: prose, list, table, junk, or empty for null and blank texts.
+def with_kind(df: DataFrame, text: str = "clause_text") -> DataFrame:
+    """Add ``stats``, ``reasons``, ``warnings`` and ``kind``: prose, list, table, junk, or empty for null and blank texts.
 
-    The kind is that of the first rule failed. Columns of these names are replaced; others pass through, repeated rows too.
+    The kind is that of the first rule failed; the warnings are the published rules failed, see :func:`published`. Columns of these names are replaced; others pass through, repeated rows too.
     """
-    step = measured(df, text, all_figures).withColumn("reasons", reasons())
+    step = measured(df, text).withColumns({"reasons": reasons(), "warnings": published()})
     first = F.get("reasons", F.lit(0))
     kind = F.when(F.col("__s_n_chars") == 0, "empty").when(first.isNull(), "prose").otherwise(F.substring_index(first, ":", 1))
     # a filter on the kind must stay above it: pushed below, it would repeat every pattern in itself

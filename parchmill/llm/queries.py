@@ -13,13 +13,13 @@ from parchmill.session import table, written
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     requests = table(spark, sf, "analyze_requests").select("id", "clause_text")
-    kinds = quality.with_kind(requests, all_figures=False).select("id", "kind")
+    kinds = quality.with_kind(requests).select("id", "kind")
     return kinds.where(F.col("kind").isin("list", "table", "junk")).distinct()
 
 
 def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
     requests = table(spark, sf, "analyze_requests").select("id", "clause_text")
-    return quality.with_kind(requests).select("id", "stats.*", "reasons", "kind").distinct()
+    return quality.with_kind(requests).select("id", "stats.*", "reasons", "warnings", "kind").distinct()
 
 
 def p1_by_category(spark: SparkSession, sf: str) -> DataFrame:
