@@ -3,9 +3,13 @@
 Each character is tagged as boundary or inside. Only few can be a boundary: after a terminal mark, at a line break, at a
 blank between words of a script without sentence marks; elsewhere the tag is inside at no cost, so the chain runs over
 those places and over quotation marks and brackets. The chain's state is what is open (nothing, a quotation, a
-parenthesis, one in the other); a boundary is possible only where nothing is. Emissions are log-odds fitted on a bounded
-sample: how often a word with a period ends a paragraph rather than goes on, which words begin paragraphs, and, from
-texts stripped of their marks, how sentences of unpunctuated scripts begin.
+parenthesis, one in the other); a boundary is possible only where nothing is.
+
+Emissions are log-odds fitted on a bounded sample: how often a word with a period ends a paragraph rather than goes on, which
+words begin paragraphs, and, from texts stripped of their marks, how sentences of unpunctuated scripts begin and end. What
+follows a mark is calibrated on places nobody doubts: paragraphs joined by a blank, where a boundary is, and marks before a
+small letter, where none is. Transitions out of what is open are fitted on how often such a mark is closed in its paragraph.
+Hand-set costs are the priors that counts are added to.
 """
 
 from __future__ import annotations
@@ -24,8 +28,12 @@ from parchmill.llm.truncation import sample_texts
 
 #: Texts that the model is fitted on: a bound for the driver; every text is decoded whole.
 SAMPLE_ROWS = 4_000
-#: Characters of a sentence's beginning that the model of unpunctuated scripts looks at.
+#: Characters of a sentence's beginning and end that the model of unpunctuated scripts looks at.
 HEAD = 3
+#: Hand-set costs of a mark that opens or closes nothing, by what it would, and how many marks they count for.
+STRAY, STRAY_WEIGHT = {"Q": -5.0, "P": -3.0}, 50
+#: At most so much do counts move the hand-set log-odds of what follows a mark.
+MOVED = 2.0
 
 # Abbreviations and months that a small sample may lack.
 ABBREVIATIONS = frozenset(
@@ -48,6 +56,11 @@ _EVENT = regex.compile(
     r"|(?P<mark>[\"“”„«»()\[\]（）「」『』《》])|(?P<blank>(?<=[\p{Thai}\p{Lao}\p{Khmer}\d)])[ \u00a0]+(?=[\p{Thai}\p{Lao}\p{Khmer}]))"
 )
 _LINES = regex.compile(_BREAK)
+_PARAGRAPH = regex.compile(rf"{_BREAK}\s*{_BREAK}")
+_MARKED = regex.compile(r"[.!?。！？।॥؟۔]$")
+_SCRIPTED = regex.compile(
+    r"(?P<latin>\p{Latin})|(?P<cyrillic>\p{Cyrillic})|(?P<greek>\p{Greek})|(?P<arabic>\p{Arabic})|(?P<devanagari>\p{Devanagari})|(?P<thai>\p{Thai})|(?P<east_asian>[\p{Han}\p{Hiragana}\p{Katakana}])"
+)
 _LABEL = regex.compile(
     r"[ \t\u00a0]*(?:[-*•▪◦‣·–—»>#]+[ \t\u00a0]+|[(\[]?(?:\d{1,3}(?:\.\d{1,3})*|[ivxlIVXL]{1,6}|\p{L})[.):\]]+(?=[ \t\u00a0]|\p{Lo})|\d{1,3}\s+[-–]\s|\d+(?:\.\d+)+(?=\s))"
 )
@@ -75,6 +88,8 @@ _STATES = ("", "Q", "P", "QP", "PQ")
 _PUSH = {("", "Q"): 1, ("", "P"): 2, ("Q", "P"): 3, ("P", "Q"): 4}
 _POP = {1: ("Q", 0), 2: ("P", 0), 3: ("P", 1), 4: ("Q", 2)}
 NEVER = -1e9
+#: Log-odds from which on a rule is not moved by counts.
+SURE = 6.0
 #: A text with a longer line than this is not hard-wrapped.
 MAX_WRAP = 110
 
@@ -82,18 +97,21 @@ MAX_WRAP = 110
 class SentenceModel:
     """Fitted emissions: see :meth:`fit`."""
 
-    def __init__(self, ends: dict[str, float], starts: dict[str, float], heads: dict[str, float]):
+    def __init__(
+        self, ends: dict[str, float], starts: dict[str, float], heads: dict[str, float], tails: dict[str, float] | None = None,
+        moved: dict[tuple[str, str], float] | None = None, stray: dict[str, float] | None = None,
+    ):
         self.ends, self.starts, self.heads = ends, starts, heads
+        self.tails, self.moved, self.stray = tails or {}, moved or {}, stray or dict(STRAY)
 
     @classmethod
     def fit(cls, texts: Iterable[str]) -> SentenceModel:
         """Log-odds from where paragraphs end and begin, places at which nobody doubts a boundary."""
+        texts = [t for t in texts if t]
         with_period, final, first, inner = Counter(), Counter(), Counter(), Counter()
-        heads, mid = Counter(), Counter()
+        heads, mid, tails = Counter(), Counter(), Counter()
         for text in texts:
-            if not text:
-                continue
-            for para in regex.split(rf"{_BREAK}\s*{_BREAK}", text):
+            for para in _PARAGRAPH.split(text):
                 para = para.strip()
                 if not para:
                     continue
@@ -107,10 +125,11 @@ class SentenceModel:
                     first[found[0]] += 1
                     inner.update(regex.findall(r"(?<=\p{Ll} )[\p{L}\p{M}]+", para))
                 # unpunctuated scripts: what a paragraph begins with, against what stands elsewhere, marks stripped
-                bare = regex.sub(r"[^\p{Thai}\p{Lao}\p{Khmer}]+", "", para)
-                if len(bare) > 3 * HEAD:
-                    heads[bare[:HEAD]] += 1
-                    mid.update(bare[k : k + HEAD] for k in range(HEAD, len(bare) - HEAD))
+                for bare in (_BARE.sub("", x) for x in _LINES.split(para)):
+                    if len(bare) > 3 * HEAD:
+                        heads[bare[:HEAD]] += 1
+                        tails[bare[-HEAD:]] += 1
+                        mid.update(bare[k : k + HEAD] for k in range(HEAD, len(bare) - HEAD))
         total = sum(with_period.values()) or 1
         base = max(0.05, sum(final.values()) / total)
         ends = {}
@@ -121,10 +140,53 @@ class SentenceModel:
         starts = {w: math.log((n + 0.5) / (inner[w] + 0.5)) for w, n in first.items() if n >= 3}
         h, k = sum(heads.values()) or 1, sum(mid.values()) or 1
         log_heads = {g: math.log((n / h) / ((mid[g] + 1) / k)) for g, n in heads.items() if n >= 2}
-        return cls(ends, starts, log_heads)
+        log_tails = {g: math.log((n / h) / ((mid[g] + 1) / k)) for g, n in tails.items() if n >= 2}
+        plain = cls(ends, starts, log_heads, log_tails)
+        return cls(ends, starts, log_heads, log_tails, plain._calibrated(texts), _stray(texts))
+
+    def _calibrated(self, texts: list[str]) -> dict[tuple[str, str], float]:
+        """For each mark and kind of character behind it, how far the log-odds are from what the sure places ask for.
+
+        One step of expectation and maximisation: places in a paragraph that nobody can be sure of count as the rules
+        see them, so that the sure ones, which are boundaries only before a capital, do not count for all.
+        """
+        seen: dict[tuple[str, str], list[float]] = {}
+
+        def told(text: str, m: regex.Match, boundary: bool | None) -> None:
+            score = self._by_rule(text, m)
+            if abs(score) < SURE:
+                c = seen.setdefault((m["stop"][0], _kind(text, m.end())), [0.0, 0.0, 0.0])
+                expected = 1 / (1 + math.exp(-score))
+                c[0] += expected if boundary is None else boundary
+                c[1] += expected
+                c[2] += 1
+
+        for text in texts:
+            paras = [p for p in (x.strip() for x in _PARAGRAPH.split(text)) if p]
+            for p, q in zip(paras, paras[1:]):
+                joined = f"{p[-60:]} {q[:20]}"
+                at = len(p[-60:]) + 1
+                for m in _EVENT.finditer(joined):
+                    if m["stop"] is not None and m.end() == at:
+                        told(joined, m, True)
+            for p in paras:
+                for m in _EVENT.finditer(p):
+                    if m["stop"] is not None and m.end() < len(p):
+                        told(p, m, False if _kind(p, m.end()) == "small" else None)
+        out = {}
+        for key, (is_, expected, n) in seen.items():
+            shift = math.log((is_ + 1) / (n - is_ + 1)) - math.log((expected + 1) / (n - expected + 1))
+            out[key] = max(-MOVED, min(MOVED, shift))
+        return out
 
     def stop_score(self, text: str, m: regex.Match) -> float:
         """Log-odds of a boundary after the terminal mark that ``m`` matched, with its closing marks."""
+        score = self._by_rule(text, m)
+        if abs(score) >= SURE or not self.moved:
+            return score
+        return score + self.moved.get((m["stop"][0], _kind(text, m.end())), 0.0)
+
+    def _by_rule(self, text: str, m: regex.Match) -> float:
         at, end, after = m.start(), m.end("stop"), m.end()
         mark = m["stop"]
         if after >= len(text):
@@ -187,7 +249,59 @@ class SentenceModel:
 
     def blank_score(self, text: str, m: regex.Match) -> float:
         head = _BARE.sub("", text[m.end() : m.end() + 12])[:HEAD]
-        return 1.5 + max(-1.0, min(3.0, self.heads.get(head, 0.0)))
+        tail = _BARE.sub("", text[max(0, m.start() - 12) : m.start()])[-HEAD:]
+        return 1.5 + max(-1.0, min(3.0, self.heads.get(head, 0.0))) + max(0.0, min(1.0, self.tails.get(tail, 0.0)))
+
+
+def _kind(text: str, at: int) -> str:
+    """What kind of character follows a mark; a small letter before a capital begins a name."""
+    c = text[at]
+    if c.islower() and text[at + 1 : at + 2].isupper():
+        return "capital"
+    return "small" if c.islower() else "capital" if c.isupper() else "letter" if c.isalpha() else "digit" if c.isdigit() else "mark"
+
+
+def _stray(texts: list[str]) -> dict[str, float]:
+    """Log-odds that a quotation mark or bracket opens or closes nothing in its paragraph, for each of the two."""
+    count = {k: [0.0, STRAY_WEIGHT / (1 + math.exp(v)), STRAY_WEIGHT] for k, v in STRAY.items()}
+    for text in texts:
+        for p in _PARAGRAPH.split(text):
+            open_ = {"Q": 0, "P": 0}
+            for c in p:
+                if c in '"“”„«»「」『』《》()[]（）':
+                    k = "P" if c in "()[]（）" else "Q"
+                    count[k][2] += 1
+                    if _OPEN.get(c) == k or (c in '"“' and not open_[k]):
+                        open_[k] += 1
+                    elif open_[k]:
+                        open_[k] -= 1
+                        count[k][1] += 2
+    return {k: max(-7.0, min(-2.0, -math.log(max(1e-6, paired / max(1e-6, total - paired))))) for k, (_, paired, total) in count.items()}
+
+
+def held_out(texts: Iterable[str], model: SentenceModel) -> dict[str, tuple[int, int]]:
+    """For each script, how many of the joins of paragraphs that end in a mark, or of lines of unpunctuated scripts, are found.
+
+    Neighbours are joined by a blank, so that nothing but the text tells where the second begins.
+    """
+    out: dict[str, list[int]] = {}
+    for text in texts:
+        if not text:
+            continue
+        bare = _BARE.sub("", text)
+        thai = 2 * len(bare) > len(text) // 2
+        paras = [p for p in (x.strip() for x in (_LINES if thai else _PARAGRAPH).split(text)) if p and not _LINES.search(p)]
+        for p, q in zip(paras, paras[1:]):
+            if thai and min(len(_BARE.sub("", p)), len(_BARE.sub("", q))) > 3 * HEAD or (not thai and _MARKED.search(p)):
+                c = out.setdefault(_script(q), [0, 0])
+                c[0] += len(p) + 1 in unit_starts(f"{p} {q}", model)
+                c[1] += 1
+    return {k: (a, b) for k, (a, b) in out.items()}
+
+
+def _script(text: str) -> str:
+    m = _SCRIPTED.search(text)
+    return (m.lastgroup if m else None) or "other"
 
 
 def _key(word: str) -> str:
@@ -300,7 +414,7 @@ def unit_starts(text: str | None, model: SentenceModel) -> list[int]:
         if m["mark"] is not None:
             if where < labels_end or whole[line_no]:
                 continue
-            _mark(text, m["mark"], where, step)
+            _mark(text, m["mark"], where, step, model.stray)
         elif m["blank"] is not None:
             if where >= labels_end and not whole[line_no]:
                 gap(model.blank_score(text, m), m.end())
@@ -312,7 +426,7 @@ def unit_starts(text: str | None, model: SentenceModel) -> list[int]:
             inside = where < labels_end or whole[line_no]
             for k, c in enumerate(m["stop"]):
                 if c in "\"“”„«»()[]（）「」『』《》" and not inside:
-                    _mark(text, c, where + k, step, closing=True)
+                    _mark(text, c, where + k, step, model.stray, closing=True)
             breaks = len(_LINES.findall(m["gap"])) if m["gap"] else 0
             score = -9.0 if inside else model.stop_score(text, m)
             if m.end() >= len(text):
@@ -341,7 +455,7 @@ def _label_end(text: str, start: int) -> int:
     return m.end() if m else start
 
 
-def _mark(text: str, c: str, at: int, step, closing: bool = False) -> None:
+def _mark(text: str, c: str, at: int, step, stray: dict[str, float], closing: bool = False) -> None:
     """Moves of the state at a quotation mark or bracket; a stray one leaves the state as it is, at a cost."""
     before = text[at - 1] if at else " "
     after = text[at + 1] if at + 1 < len(text) else " "
@@ -359,7 +473,7 @@ def _mark(text: str, c: str, at: int, step, closing: bool = False) -> None:
         o, s = (0.0, -2.0) if c == "«" else (-3.0, 0.0)
     moves = []
     for k, name in enumerate(_STATES):
-        moves.append((k, k, -5.0 if (k == 0 and c in "\"“„«「『") or (shuts and k and _POP[k][0] == shuts) else -3.0, False))
+        moves.append((k, k, stray["Q"] if (k == 0 and c in "\"“„«「『") or (shuts and k and _POP[k][0] == shuts) else stray["P"], False))
         if opens and (name, opens) in _PUSH:
             moves.append((k, _PUSH[name, opens], o, False))
         if shuts and k in _POP and _POP[k][0] == shuts:

@@ -26,12 +26,20 @@ KINDS = {
 }
 
 
-def test_kinds_with_and_without_all_figures(spark):
+def test_kinds(spark):
     rows = [(i, t) for i, t in enumerate([*KINDS, None])]
     df = spark.createDataFrame(rows, "id int, clause_text string").withColumn("kind", F.lit("x")).withColumn("__t", F.lit(1))
-    for full in (True, False):
-        got = {r.id: r.kind for r in quality.with_kind(df, all_figures=full).collect()}
-        assert [got[i] for i, _ in rows] == [*KINDS.values(), "empty"]
+    got = {r.id: r.kind for r in quality.with_kind(df).collect()}
+    assert [got[i] for i, _ in rows] == [*KINDS.values(), "empty"]
+
+
+def test_published_rules_tell_a_reason_each(spark):
+    texts = {"- a bc\n- d ef\n- g hi": "bullet lines", "so it goes...\nand on...": "ellipsis lines", "# a # b # c": "symbols to words", "12 13 14 15 16 of the": "alphabetic words",
+             "xylograph zyzzyva quokka": "stop words", "the end of it": "no line ends in a mark", "of the antidisestablishmentarianism": "mean word length"}
+    rows = {r.t: r.warnings for r in quality.with_kind(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    assert all(want in rows[t] for t, want in texts.items()), rows
+    long = "The Buyer shall pay the agreed price to the Seller within ten days of the notice. " * 5
+    assert quality.with_kind(spark.createDataFrame([(long,)], "t string"), "t").first().warnings == []
 
 
 def test_statistics_and_reasons(spark):
@@ -355,3 +363,13 @@ def test_ids_are_found_without_moving_texts(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id bigint, text string")
     plan = encoding.with_ids(encoding.one_per_id(df))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_training_moves_what_follows_a_mark_and_what_stands_open():
+    texts = [f"The fee is due{i}. It is paid.\n\nThe end (of all) is near.\n\nA gate{i}y. then it shut." for i in range(30)] + ["« a » b ( c"] * 40
+    model = sentences.SentenceModel.fit(texts)
+    assert model.moved[".", "small"] < 0 and model.stray["P"] != sentences.STRAY["P"]
+    plain = sentences.SentenceModel.fit([])
+    assert plain.moved == {} and plain.stray == pytest.approx(sentences.STRAY)
+    found = sentences.held_out(["The fee is due.\n\nAll of it is paid.\n\nno mark", None, ""], model)
+    assert found == {"latin": (1, 1)}
