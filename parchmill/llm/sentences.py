@@ -495,7 +495,8 @@ def with_unit_starts(df: DataFrame, model: SentenceModel, text: str = "text", ou
         for s in batches:
             yield pd.Series([unit_starts(x, shared.value) for x in s], dtype=object)
 
-    return df.withColumn(out, find(F.col(text)))
+    # else the filter that goes with an explode would be pushed below and decode every text a second time
+    return df.withColumn(out, find.asNondeterministic()(F.col(text)))
 
 
 def units(df: DataFrame, model: SentenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
