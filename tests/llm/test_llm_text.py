@@ -366,10 +366,18 @@ def test_ids_are_found_without_moving_texts(spark):
 
 
 def test_training_moves_what_follows_a_mark_and_what_stands_open():
-    texts = [f"The fee is due{i}. It is paid.\n\nThe end (of all) is near.\n\nA gate{i}y. then it shut." for i in range(30)] + ["« a » b ( c"] * 40
+    texts = [f"The fee is due{i}. It is paid.\n\nThe end (of all) is near.\n\nA {chr(97 + i % 26) * 4}{chr(97 + i // 26) * 3}. then it shut." for i in range(60)] + ["« a » b ( c"] * 40
     model = sentences.SentenceModel.fit(texts)
     assert model.moved[".", "small"] < 0 and model.stray["P"] != sentences.STRAY["P"]
     plain = sentences.SentenceModel.fit([])
     assert plain.moved == {} and plain.stray == pytest.approx(sentences.STRAY)
     found = sentences.held_out(["The fee is due.\n\nAll of it is paid.\n\nno mark", None, ""], model)
     assert found == {"latin": (1, 1)}
+
+
+def test_texts_are_read_once_by_python(spark, model):
+    df = spark.createDataFrame([(1, "One. Two.", "x", False)], "doc_id bigint, text string, clause_text string, at_limit boolean")
+    units = sentences.with_unit_starts(encoding.one_per_id(df.select("doc_id", "text")), sentences.SentenceModel.fit([])).select("doc_id", F.explode("starts"))
+    found = defects.with_defects(df.withColumnRenamed("text", "raw_response"), model).select("doc_id", F.explode("defects"))
+    for q in (units, found):
+        assert q._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
