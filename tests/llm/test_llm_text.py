@@ -372,7 +372,7 @@ def test_training_moves_what_follows_a_mark_and_what_stands_open():
     plain = sentences.SentenceModel.fit([])
     assert plain.moved == {} and plain.stray == pytest.approx(sentences.STRAY)
     found = sentences.held_out(["The fee is due.\n\nAll of it is paid.\n\nno mark", None, ""], model)
-    assert found == {"latin": (1, 1)}
+    assert found == {"latin": (1, 2)}  # before a small letter nobody expects a boundary
 
 
 def test_texts_are_read_once_by_python(spark, model):
