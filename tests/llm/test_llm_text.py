@@ -413,3 +413,11 @@ def test_counts_handed_on_early_add_up():
             c[0], c[1] = c[0] + n, c[1] + e
         sums[most] = total
     assert sums[1] == sums[4] == sums[10**6] and sum(n for n, _ in sums[1].values()) == sum(len(truncation.TerminalModel._taught(t or "")) for t in texts)
+
+
+def test_cut_values_rest_on_counts_of_all_rows(spark, tmp_path):
+    df = rare_ends(spark)
+    df.write.parquet(f"{tmp_path}/analyze_responses.parquet")
+    df.select(F.col("response_id").alias("id"), F.col("raw_response").alias("clause_text"), "source").write.parquet(f"{tmp_path}/analyze_requests.parquet")
+    found = {(r.field, r.record_id) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert found == {("clause_text", "cut"), ("raw_response", "cut")}
