@@ -421,3 +421,14 @@ def test_cut_values_rest_on_counts_of_all_rows(spark, tmp_path):
     df.select(F.col("response_id").alias("id"), F.col("raw_response").alias("clause_text"), "source").write.parquet(f"{tmp_path}/analyze_requests.parquet")
     found = {(r.field, r.record_id) for r in queries.p5_found(spark, str(tmp_path)).collect()}
     assert found == {("clause_text", "cut"), ("raw_response", "cut")}
+
+
+def test_what_repeats_is_found_without_an_estimate(spark, tmp_path, monkeypatch):
+    rows = [("a", "s", "map " * 30), ("b", "s", PROSE), ("c", None, "The fee is due now. " * 4), ("d", "s", None), ("e", "s", " ")]
+    spark.createDataFrame(rows, "response_id string, source string, raw_response string").write.parquet(f"{tmp_path}/analyze_responses.parquet")
+    shares = {r.response_id: r for r in queries.p2_shares(spark, str(tmp_path)).collect()}
+    assert {k for k, r in shares.items() if r.repetitive} == {"a", "c"} and all(r.held_against for r in shares.values())
+    monkeypatch.setattr(repetition, "outliers", None)  # what decides nothing is not worked out
+    found = queries.p2_found(spark, str(tmp_path))
+    assert {r.response_id for r in found.collect()} == {"a", "c"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
