@@ -226,6 +226,45 @@ def test_short_and_evenly_edited_pairs_are_found(spark):
     assert len(found_overlap(spark, rows)) == 180
 
 
+def test_thresholds_try_only_ranks_that_stand_there(monkeypatch):
+    rng = np.random.default_rng(14)
+    rank = rng.integers(0, 1 << 30, (60, 9)).astype(np.int32)
+    rank[50:, 3:] = np.iinfo(np.int32).max
+    need, tried, apart = np.arange(1, 10) * 4, [], overlap._apart
+    want = []
+    for k in range(9):
+        enough = [r for r in sorted(rank[:, k].tolist()) if apart((rank <= r)[:, k : k + 1])[0] >= need[k]]
+        want.append(min([*enough, np.iinfo(np.int32).max - 1]))
+    monkeypatch.setattr(overlap, "_apart", lambda taken: tried.append(1) or apart(taken))
+    assert overlap.thresholds(rank, need).tolist() == want
+    assert len(tried) <= 7
+
+
+def test_suffixes_delivered_again_give_one_link_and_places_stay():
+    text = [f"w{k}" for k in range(20)]
+    other = [*text[:10], "new", *text[11:]]
+    keys = np.concatenate([overlap.pair_keys(overlap.word_numbers([t])) for t in (text, other)])
+    counts = np.zeros((2, overlap.BUCKETS), np.uint32)
+    counts[:, overlap.bucket(keys)] = 1
+    rows = overlap.pd.DataFrame({"text": [" ".join(text), " ".join(other)], "side": [1, 2]})
+    once = overlap.pd.concat(overlap._emit(counts)(iter([rows])))
+
+    def linked(n):
+        given = overlap.pd.concat([once] * n).sort_values("first", kind="stable")
+        return sorted(r for b in overlap._linked(iter([given])) for r in b.itertuples(index=False, name=None))
+
+    assert linked(1) and linked(3) == linked(1) and len(set(linked(1))) == len(linked(1))
+    links = overlap.pd.DataFrame(linked(1), columns=[*"abijk"])
+    (pair,) = overlap.pd.concat(overlap._together(iter([links[:1], links[1:]]))).itertuples(index=False)
+    assert overlap.places_of(pair.spans) == sorted({(r.i, r.j) for r in links.itertuples()})
+    assert not list(overlap._together(iter([links.assign(k=len(links) + 1)])))
+
+
+def test_words_beyond_ascii_are_told_as_by_category():
+    texts = ["".join(map(chr, range(k, k + 50))) for k in range(0, 0x30000, 50) if not 0xD7CE <= k <= 0xDFFF]
+    assert [overlap._plain(t) for t in texts] == [t.translate(overlap._PLAIN) for t in texts]
+
+
 def test_coverage_by_record_counts_equal_and_near_texts(spark):
     rng = random.Random(13)
     text, other = words(rng, 20), words(rng, 20)
