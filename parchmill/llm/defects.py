@@ -7,7 +7,8 @@ dictionary; a copy nearly vanishes. Refusals and languages come from dictionarie
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,6 +70,9 @@ ZSTD_LEVEL = 1
 
 _REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.I)
 _APOLOGY = re.compile(APOLOGY, re.I)
+#: The same for ASCII in lower case, where they are much cheaper.
+_LOW_REFUSAL = re.compile(_REFUSAL.pattern.lower())
+_LOW_APOLOGY = re.compile(APOLOGY.lower())
 #: Without one of these, in lower case, a text matches neither pattern; asked first, because it is much cheaper.
 _CUES = (
     " can", "won", "will not", "decline", "refuse", "unable", "not able", "don", "do not", " would", "no opinion", "outside", "request", "not be appropriate",
@@ -77,6 +81,9 @@ _CUES = (
 )
 _UNITS = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: The same in ASCII, where they are much cheaper.
+_ASCII_UNITS = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*)")
+_ASCII_WORDS = re.compile(r"[a-zA-Z]+(?:'[a-zA-Z]+)*")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _PROMPT = re.compile(
     r"^\W*(?:you are a legal analyst[^\n]*\n+)?(?:clause category:[^\n]*\n+)?(?:clause text:)?|analy[sz]e this clause using irac format\.?"
@@ -91,6 +98,14 @@ _NA = re.compile(r"\bn/a\b", re.I)
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 
 
+def units_of(text: str) -> list[str]:
+    return (_ASCII_UNITS if text.isascii() else _UNITS).split(text)
+
+
+def words_of(text: str) -> list[str]:
+    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)
+
+
 def compressed_ratio(answer: bytes, prompt: bytes) -> float:
     """Size of the answer given the prompt as a dictionary, against its size alone."""
     import zstandard
@@ -122,8 +137,8 @@ def is_copy(answer: str, prompt: str) -> bool:
     given = p.encode("utf-8", "replace")
     if len(given) >= FEW_BYTES and compressed_ratio(a.encode("utf-8", "replace"), given) >= COPY_RATIO:
         return False
-    words = [w for w in _WORDS.findall(_PROMPT.sub(" ", a)) if w not in _LABEL_WORDS]
-    known = [w for w in _WORDS.findall(p) if w not in _LABEL_WORDS]
+    words = [w for w in words_of(_PROMPT.sub(" ", a)) if w not in _LABEL_WORDS]
+    known = [w for w in words_of(p) if w not in _LABEL_WORDS]
     if not words or not known:
         return False
     own = own_words(words, known, min(4, len(known)))
@@ -134,9 +149,9 @@ def other_language_share(answer: str, own: str) -> float:
     """Share of the answer, in words, that is in a language other than ``own``; units that tell nothing count for neither."""
     mine = other = 0.0
     last = None
-    for unit in _UNITS.split(answer):
-        words = _WORDS.findall(unit.lower())
-        dense = len(_DENSE.findall(unit))
+    for unit in units_of(answer):
+        words = words_of(unit.lower())
+        dense = 0 if unit.isascii() else len(_DENSE.findall(unit))
         n = dense / 1.6 if dense > len(unit) / 3 else len(words)
         if n < 2:
             continue
@@ -153,22 +168,41 @@ def other_language_share(answer: str, own: str) -> float:
     return other / (mine + other) if mine + other else 0.0
 
 
-def declines(unit: str) -> bool:
+def cues_in(text: str) -> list[str]:
+    low = text.lower()
+    return [c for c in _CUES if c in low]
+
+
+def declines(unit: str, cues: Sequence[str] = _CUES) -> bool:
+    """``cues``: those that stand in the text that the unit is of."""
     low = unit.lower()
-    return any(c in low for c in _CUES) and bool(_REFUSAL.search(unit) or _APOLOGY.search(unit))
+    if not any(c in low for c in cues):
+        return False
+    return bool(_LOW_REFUSAL.search(low) or _LOW_APOLOGY.search(low) if unit.isascii() else _REFUSAL.search(unit) or _APOLOGY.search(unit))
+
+
+def _refuses(text: str) -> bool:
+    if not text.isascii():
+        return bool(_REFUSAL.search(text))
+    low = text.lower()
+    return any(c in low for c in _CUES) and bool(_LOW_REFUSAL.search(low))
 
 
 def is_refusal(answer: str) -> bool:
     """Whether the answer declines: sentences that do so, and hardly anything else or less than they are."""
-    total = len(_WORDS.findall(answer))
+    total = len(words_of(answer))
     long = total > 3 * REFUSAL_WORDS
-    if not long and not _REFUSAL.search(answer):
+    if not long and not _refuses(answer):
         return False
-    rest = declined = 0
     # headings and placeholders are a few words, which only matter in short answers
-    for unit in _UNITS.split(answer if long else _NA.sub(" ", truncation._LABELS.sub(" ", answer))):
-        n = len(_WORDS.findall(unit))
-        if n and declines(unit):
+    said = answer if long else _NA.sub(" ", truncation._LABELS.sub(" ", answer))
+    cues = cues_in(said)
+    if not cues:
+        return False
+    rest = declined = 0
+    for unit in units_of(said):
+        n = len(words_of(unit))
+        if n and declines(unit, cues):
             # what runs on behind a declining phrase without an end declines no more
             declined += min(n, 2 * REFUSAL_WORDS)
             rest += max(0, n - 2 * REFUSAL_WORDS)
@@ -183,7 +217,7 @@ def defects(answer: str | None, prompt: str | None, at_limit: bool, model: trunc
     """The defects of one answer, in the order of :data:`DEFECTS`; none for a sound one."""
     if answer is None:
         return ["empty"]
-    words = _WORDS.findall(answer.lower())
+    words = words_of(answer.lower())
     if _LABEL_WORDS.issuperset(words) and truncation.is_empty(answer):
         return ["empty"]
     out = []
@@ -207,6 +241,7 @@ def defects(answer: str | None, prompt: str | None, at_limit: bool, model: trunc
     return out
 
 
+@lru_cache(maxsize=16)  # the answers of a prompt come one behind the other
 def prompt_language(text: str) -> str:
     """The prompt's language, ``und`` unless enough function words or a script of its own tell it."""
     script = lexicon.script_language(text)

@@ -432,3 +432,21 @@ def test_what_repeats_is_found_without_an_estimate(spark, tmp_path, monkeypatch)
     found = queries.p2_found(spark, str(tmp_path))
     assert {r.response_id for r in found.collect()} == {"a", "c"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_ascii_patterns_tell_what_the_full_ones_do():
+    rng = random.Random(21)
+    parts = ["I cannot", " I'm unable", "Sorry", "WILL NOT", " can", "a.", "..", "...", "!", "?", "\n", "\n\n", " ", "\x1c", "\t", "don't", "x-y", "_", "9", ")", "\"", "n/a", "é", "’", "。", "Σ", "word"]
+    ended = re.compile(truncation.ENDED)
+    for _ in range(3_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert truncation.tokens(t) == truncation._TOKEN.findall(t)
+        assert truncation.is_ended(t) == bool(ended.search(t))
+        assert defects.units_of(t) == defects._UNITS.split(t) and defects.words_of(t) == defects._WORDS.findall(t)
+        assert defects.declines(t) == bool(defects._REFUSAL.search(t) or defects._APOLOGY.search(t)) or not defects.cues_in(t)
+
+
+def test_answers_without_a_declining_word_are_not_read_sentence_by_sentence(monkeypatch):
+    monkeypatch.setattr(defects, "declines", lambda *_: pytest.fail("asked"))
+    assert not defects.is_refusal("The carrier pays the fee. " * 40)
+    assert not defects.is_refusal("The carrier pays the fee.")
