@@ -77,6 +77,17 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def foreign_marks(text: Column) -> Column:
+    """How often :data:`MOJIBAKE` stands in a text; each of its forms begins beyond ASCII, which is asked first."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_count(text, F.lit(MOJIBAKE))).otherwise(0)
+
+
+def markup_marks(text: Column) -> Column:
+    """How often :data:`MARKUP` stands in a text; each of its forms has one of four things, which are asked for first."""
+    some = text.contains("<") | text.contains("&") | text.contains("{") | text.contains("function")
+    return F.when(some, F.regexp_count(text, F.lit(MARKUP))).otherwise(0)
+
+
 def measured(df: DataFrame, text: str) -> DataFrame:
     """Add a column ``__s_…`` for each statistic."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -115,8 +126,8 @@ def measured(df: DataFrame, text: str) -> DataFrame:
         "row_share": F.when(n_lines >= MIN_ROWS, F.size(F.filter(lines, lambda x: x.rlike(CELLS))) / n_lines.cast("double")).otherwise(0.0),
         "common_share": _ratio(_in(words, _bag(COMMON)).cast("double"), n_words.cast("double")),
         "verb_share": _ratio(_in(words, _bag(VERBS)).cast("double"), n_words.cast("double")),
-        "foreign_share": _ratio(F.regexp_count(t, F.lit(MOJIBAKE)).cast("double"), n_chars.cast("double")),
-        "markup_share": _ratio(F.regexp_count(t, F.lit(MARKUP)).cast("double"), (n_words + 1).cast("double")),
+        "foreign_share": _ratio(foreign_marks(t).cast("double"), n_chars.cast("double")),
+        "markup_share": _ratio(markup_marks(t).cast("double"), (n_words + 1).cast("double")),
         "mean_token_length": _ratio((n_chars - blanks).cast("double"), n_tokens.cast("double")),
         "n_separators": F.regexp_count(t, F.lit(r"[,;]\s")).cast("bigint"),
         "n_body": n_body.cast("bigint"),

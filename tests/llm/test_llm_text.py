@@ -450,3 +450,11 @@ def test_answers_without_a_declining_word_are_not_read_sentence_by_sentence(monk
     monkeypatch.setattr(defects, "declines", lambda *_: pytest.fail("asked"))
     assert not defects.is_refusal("The carrier pays the fee. " * 40)
     assert not defects.is_refusal("The carrier pays the fee.")
+
+
+def test_marks_asked_for_first_change_no_count(spark):
+    texts = ["plain", "", "<b>x</b> & &amp; a&b;", "{a:b} {a}", "x = function (y)", "function(", "malfunction (", "a < b", "Ã¤ Â§ â€œ ï¿½ \ufffd Å", "é", "Ã", "x=function", "&#12; naïve Ã©"]
+    t = F.col("t")
+    counts = [quality.foreign_marks(t), F.regexp_count(t, F.lit(quality.MOJIBAKE)), quality.markup_marks(t), F.regexp_count(t, F.lit(quality.MARKUP))]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(*counts).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows) and sum(r[0] > 0 for r in rows) == 2 and sum(r[2] > 0 for r in rows) == 6
